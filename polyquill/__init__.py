@@ -1,0 +1 @@
+"""Relational, graph, vector and schedule analytics on PySpark DataFrames."""

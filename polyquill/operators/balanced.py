@@ -1,0 +1,124 @@
+"""Per-key results without imbalance when a few keys hold most rows.
+
+Rows are range-partitioned on (key, order column) with sampled quantiles, so a
+heavy key spreads over as many partitions as it needs. Each partition, sorted,
+gives one partial state per key; the states of a key that crosses partition
+borders are then stitched in partition order. States are at most one row per
+key and partition.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+_STATE = "key {k}, __pid int, n long, total double, first_order double, last_order double, max_gap double"
+
+
+def per_key(df: DataFrame, key: str, value: str, order: str, partitions: int | None = None) -> DataFrame:
+    """(key, n_rows, total, first_order, last_order, max_gap, share) for every key.
+
+    ``total`` sums the non-null values; ``order`` is a number or a timestamp
+    (then in seconds) and ``max_gap`` the widest step between neighbours in its
+    order, null where a key has fewer than two non-null orders. Rows with a
+    null key form the group whose key is null. ``share`` is the part of the
+    rows with non-null key and null for the null group. Repeated rows count as
+    often as they come. An empty table gives no rows.
+    """
+    spark = df.sparkSession
+    kind = dict(df.dtypes)[order]
+    ordering = F.unix_micros(F.col(f"`{order}`").cast("timestamp")).cast("double") / 1e6 if kind.startswith("timestamp") else F.col(f"`{order}`").cast("double")
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").cast("double").alias("value"), ordering.alias("ord"))
+    parts = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    k = dict(rows.dtypes)["key"]
+    # a null order goes last in its key, marked by NaN, and counts for n and total only
+    ranged = (
+        rows.where("key is not null")
+        .withColumn("ord", F.coalesce("ord", F.lit(float("nan"))))
+        .repartitionByRange(parts, "key", "ord")
+        .sortWithinPartitions("key", "ord")
+    )
+    states = ranged.mapInArrow(_partial_states, _STATE.format(k=k))
+    one = Window.partitionBy("key").orderBy("__pid")
+    gap = F.col("first_order") - F.max("last_order").over(one.rowsBetween(Window.unboundedPreceding, -1))
+    stitched = (
+        states.withColumn("__gap", F.greatest("max_gap", gap))
+        .groupBy("key")
+        .agg(
+            F.sum("n").alias("n_rows"),
+            F.sum("total").alias("total"),
+            F.min("first_order").alias("first_order"),
+            F.max("last_order").alias("last_order"),
+            F.max("__gap").alias("max_gap"),
+        )
+    )
+    keyed_rows = rows.where("key is not null").count()  # a scan of one column
+    keyed = stitched.withColumn("share", F.col("n_rows") / F.lit(float(keyed_rows or 1)))
+    nulls = (
+        rows.where("key is null")
+        .agg(F.count("*").alias("n_rows"), F.sum("value").alias("total"), F.min("ord").alias("first_order"), F.max("ord").alias("last_order"))
+        .where("n_rows > 0")
+        .select(F.lit(None).cast(k).alias("key"), "n_rows", "total", "first_order", "last_order", F.lit(None).cast("double").alias("max_gap"), F.lit(None).cast("double").alias("share"))
+    )
+    return keyed.unionByName(nulls)
+
+
+def heavy_keys(result: DataFrame, share: float) -> DataFrame:
+    """The keys of a :func:`per_key` result with at least ``share`` of the rows."""
+    return result.where((F.col("share") >= share) & F.col("key").isNotNull())
+
+
+def _partial_states(batches):
+    """One state per key of a sorted partition, carried over its batches."""
+    from pyspark import TaskContext
+
+    pid = TaskContext.get().partitionId()
+    open_key, open_state = None, None  # [n, total, seen, first, last, gap]
+
+    def emit(states):
+        keys = pa.array([s[0] for s in states])
+        cols = list(zip(*[s[1] for s in states]))
+        nan_null = lambda x: pa.array([None if np.isnan(v) else v for v in x], pa.float64())
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array([pid] * len(states), pa.int32()), pa.array([int(v) for v in cols[0]], pa.int64()), nan_null(cols[1]), nan_null(cols[2]), nan_null(cols[3]), nan_null(cols[4])],
+            ["key", "__pid", "n", "total", "first_order", "last_order", "max_gap"],
+        )
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0)
+        order = b.column(2).to_numpy(zero_copy_only=False)
+        value = b.column(1).to_numpy(zero_copy_only=False).astype(float)
+        coded = keys.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+        ends = np.concatenate([starts[1:], [len(codes)]])
+        has = ~np.isnan(value)
+        total = np.add.reduceat(np.where(has, value, 0.0), starts)
+        valued = np.add.reduceat(has.astype(np.int64), starts)
+        real = ~np.isnan(order)
+        seen = np.add.reduceat(real.astype(np.int64), starts)
+        steps = np.full(len(order), np.nan)
+        steps[1:] = np.diff(order)
+        steps[starts] = np.nan
+        gaps = np.fmax.reduceat(steps, starts)
+        names = coded.dictionary.take(pa.array(codes[starts])).to_pylist()
+        done = []
+        for i, name in enumerate(names):
+            first = order[starts[i]] if seen[i] else np.nan
+            last = order[starts[i] + seen[i] - 1] if seen[i] else np.nan
+            state = [ends[i] - starts[i], total[i] if valued[i] else np.nan, first, last, gaps[i]]
+            if open_state is not None and name == open_key:
+                o = open_state
+                step = state[2] - o[3]
+                state = [o[0] + state[0], o[1] if np.isnan(state[1]) else state[1] if np.isnan(o[1]) else o[1] + state[1], o[2] if not np.isnan(o[2]) else state[2], state[3] if not np.isnan(state[3]) else o[3], np.fmax(np.fmax(o[4], state[4]), step)]
+            elif open_state is not None:
+                done.append((open_key, open_state))
+            open_key, open_state = name, state
+        if done:
+            yield emit(done)
+    if open_state is not None:
+        yield emit([(open_key, open_state)])

@@ -1,0 +1,91 @@
+"""Session helpers shared by all operators: lineage cuts and size-checked joins."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a lookup side is broadcast; it is counted before. At about
+#: 50 bytes a row this is some 10 MB per executor, whatever the input's size.
+BROADCAST_ROWS = 200_000
+
+#: A key is heavy from this share of the rows on, so there are at most
+#: 1 / HEAVY_SHARE heavy keys, which bounds what is broadcast for them.
+HEAVY_SHARE = 0.002
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset, and only in local mode, a temporary folder is
+    made and remembered; on a cluster a missing setting is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if named is None:
+        now = sc._jsc.sc().getCheckpointDir()
+        if now.isDefined():
+            return now.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="polyquill-")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, keep it in the shared folder, drop its lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for a table written between stages."""
+    return f"{shared_dir(spark).rstrip('/')}/polyquill-{name}-{uuid.uuid4().hex}"
+
+
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    how: str = "left",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join ``left`` to ``right``, which has one row per key and is cheap to count.
+
+    A right side of at most ``broadcast_rows`` rows is broadcast. Beyond that
+    the heavy keys of ``left`` (at most 1 / HEAVY_SHARE of them) are looked up
+    in a broadcast of just their rows, and all others by a shuffle, so no task
+    gets the rows of one hot key. Column names of the two sides must differ.
+    """
+    cond = F.col(left_key) == F.col(right_key)
+    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return left.join(F.broadcast(right), cond, how)
+    counts = left.where(F.col(left_key).isNotNull()).groupBy(F.col(left_key).alias("__k")).agg(F.count("*").alias("__n"))
+    total = left.count()
+    heavy = cut(counts.where(F.col("__n") >= F.lit(max(2.0, HEAVY_SHARE * total))).select("__k"))
+    keys = [r[0] for r in heavy.collect()]  # at most 1 / HEAVY_SHARE rows
+    if not keys:
+        return left.join(right, cond, how)
+    is_heavy = F.coalesce(F.col(left_key).isin(keys), F.lit(False))
+    hot = left.where(is_heavy).join(F.broadcast(right.where(F.col(right_key).isin(keys))), cond, how)
+    return left.where(~is_heavy).join(right, cond, how).unionByName(hot)
+
+
+def in_force(df: DataFrame, key: str, version: str) -> DataFrame:
+    """Of the rows of one ``key`` the one with the latest ``version``.
+
+    Rows that tie on ``version`` are expected to be equal; if they are not, the
+    greatest row by its columns' order is kept, so the result is the same in
+    every run. Rows with a null ``version`` rank below all others. One
+    aggregate with map-side combine, no window over a key's rows.
+    """
+    rest = [c for c in df.columns if c not in (key, version)]
+    best = F.max(F.struct(F.col(f"`{version}`"), *[F.col(f"`{c}`") for c in rest])).alias("__r")
+    got = df.groupBy(F.col(f"`{key}`").alias("__key")).agg(best)
+    return got.select(*[F.col("__key").alias(key) if c == key else F.col("__r").getField(c).alias(c) for c in df.columns])

@@ -1,0 +1,10 @@
+"""Parquet tables by name."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table ``name`` of ``folder``, a Parquet file or folder of files."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
