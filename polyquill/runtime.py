@@ -66,15 +66,15 @@ def lookup_join(
     cond = F.col(left_key) == F.col(right_key)
     if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return left.join(F.broadcast(right), cond, how)
-    counts = left.where(F.col(left_key).isNotNull()).groupBy(F.col(left_key).alias("__k")).agg(F.count("*").alias("__n"))
     total = left.count()
-    heavy = cut(counts.where(F.col("__n") >= F.lit(max(2.0, HEAVY_SHARE * total))).select("__k"))
-    keys = [r[0] for r in heavy.collect()]  # at most 1 / HEAVY_SHARE rows
-    if not keys:
+    counts = left.where(F.col(left_key).isNotNull()).groupBy(F.col(left_key).alias("__hk")).agg(F.count("*").alias("__n"))
+    heavy = cut(counts.where(F.col("__n") >= F.lit(max(2.0, HEAVY_SHARE * total))).select("__hk"))
+    if heavy.isEmpty():
         return left.join(right, cond, how)
-    is_heavy = F.coalesce(F.col(left_key).isin(keys), F.lit(False))
-    hot = left.where(is_heavy).join(F.broadcast(right.where(F.col(right_key).isin(keys))), cond, how)
-    return left.where(~is_heavy).join(right, cond, how).unionByName(hot)
+    marked = left.join(F.broadcast(heavy), F.col(left_key) == F.col("__hk"), "left")
+    few = right.join(F.broadcast(heavy), F.col(right_key) == F.col("__hk"), "left_semi")
+    hot = marked.where(F.col("__hk").isNotNull()).drop("__hk").join(F.broadcast(few), cond, how)
+    return marked.where(F.col("__hk").isNull()).drop("__hk").join(right, cond, how).unionByName(hot)
 
 
 def in_force(df: DataFrame, key: str, version: str) -> DataFrame:
