@@ -1,0 +1,38 @@
+"""Queries of the problems tagged llm on the tables of TESTDATA.md."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+from .neighbors import nearest_neighbours
+
+COMPONENTS = ["c0", "c1", "c2", "c3"]
+#: Euclidean distance up to which two vectors are similar.
+SIMILAR = 0.3
+
+
+def _neighbours(spark: SparkSession, d: str, **more) -> DataFrame:
+    return nearest_neighbours(table(spark, d, "vidva_vectors"), "record_id", COMPONENTS, k=3, max_distance=SIMILAR, **more)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    got = _neighbours(spark, d)
+    return got.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p5_found,)}
+
+_USABLE = """with v as (select distinct record_id as id, c0::double as a, c1::double as b, c2::double as c, c3::double as d from vidva_vectors
+ where c0 is not null and c1 is not null and c2 is not null and c3 is not null and not isnan(c0) and not isnan(c1) and not isnan(c2) and not isnan(c3)
+ and not (c0 = 0 and c1 = 0 and c2 = 0 and c3 = 0)),
+"""
+
+ORACLE = {
+    "p5_found": _USABLE
+    + """near as (select x.id, y.id as other, sqrt((x.a-y.a)*(x.a-y.a)+(x.b-y.b)*(x.b-y.b)+(x.c-y.c)*(x.c-y.c)+(x.d-y.d)*(x.d-y.d)) as dist
+ from v x join v y on y.a between x.a - 0.31 and x.a + 0.31 and x.id <> y.id),
+best as (select id, other, row_number() over (partition by id order by dist, other) as k from near where dist <= 0.3)
+select distinct least(id, other) as id_a, greatest(id, other) as id_b from best where k <= 3""",
+}
