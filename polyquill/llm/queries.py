@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .clusters import Clustering, cliques, similarity_clusters, typical_members
 from .neighbors import nearest_neighbours
 
 COMPONENTS = ["c0", "c1", "c2", "c3"]
@@ -13,6 +14,22 @@ COMPONENTS = ["c0", "c1", "c2", "c3"]
 SIMILAR = 0.3
 
 
+#: Records of a cluster, at least.
+CLUSTER_SIZE = 6
+
+
+def _clusters(spark: SparkSession, d: str) -> Clustering:
+    return similarity_clusters(table(spark, d, "vidva_vectors"), "record_id", COMPONENTS, SIMILAR)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return cliques(_clusters(spark, d), CLUSTER_SIZE).select(F.col("id").alias("record_id"), "cluster_id")
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return typical_members(_clusters(spark, d), 3)
+
+
 def _neighbours(spark: SparkSession, d: str, **more) -> DataFrame:
     return nearest_neighbours(table(spark, d, "vidva_vectors"), "record_id", COMPONENTS, k=3, max_distance=SIMILAR, **more)
 
@@ -22,7 +39,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p5_found,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p5_found)}
 
 _USABLE = """with v as (select distinct record_id as id, c0::double as a, c1::double as b, c2::double as c, c3::double as d from vidva_vectors
  where c0 is not null and c1 is not null and c2 is not null and c3 is not null and not isnan(c0) and not isnan(c1) and not isnan(c2) and not isnan(c3)
