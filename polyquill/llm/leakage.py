@@ -1,0 +1,187 @@
+"""Evaluation texts leaking into a corpus: rare n-gram seeds, then alignment.
+
+Items are taken in blocks of bounded size, so what tasks share is bounded. One
+pass over the corpus finds where any n-gram of a block's items occurs and keeps
+those passages as word numbers. From the counts of all those n-grams over the
+whole corpus every window of an item picks its rarest n-gram as seed; passages
+holding a seed are joined to the seed's items and scored by Smith-Waterman
+alignment over words, which also gives the longest run of equal words.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import cut
+
+#: Words of an n-gram; of an item's window; items and characters of a block.
+GRAM, WINDOW = 5, 12
+BLOCK_ITEMS, BLOCK_CHARS = 2_000, 4_000_000
+MATCH, MISMATCH, GAP = 2, -1, 1
+#: Hits farther apart than this many words belong to different passages.
+APART = 64
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+#: Any byte but a letter becomes a blank, letters become small.
+_FOLD = bytes(b if 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+_OUT = "doc_id long, item_id long, score int, item_words int, run int, at int"
+
+
+def words_of(text: str) -> list[bytes]:
+    """The longest runs of letters a to z, case aside."""
+    return text.encode("utf-8", "replace").translate(_FOLD).split()
+
+
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """(doc_id, item_id, score, item_words, run, at): best alignment per pair.
+
+    A pair is reported if the document holds a seed of the item, that is, an
+    n-gram of GRAM words; every run of WINDOW or more common words holds one,
+    and so does any shorter item that occurs whole and has GRAM words. ``score``
+    is the Smith-Waterman score over words (MATCH, MISMATCH, GAP), at most
+    MATCH times ``item_words``; ``run`` the longest run of equal words and
+    ``at`` the word of the document where the best passage starts. Null or
+    empty texts and items, and items under GRAM words, match nothing; rows with
+    a null id are ignored; repeated items or documents give one row per id
+    pair. Empty tables give no rows. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    corpus = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(
+        "doc_id is not null and text is not null"
+    )
+    wanted = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{passage}`").alias("passage")).where(
+        "item_id is not null and passage is not null"
+    )
+    out = spark.createDataFrame([], _OUT)
+    for block in _blocks(wanted.distinct().orderBy("item_id").toLocalIterator()):
+        out = out.unionByName(_block_matches(corpus, block))
+    best = F.max(F.struct("run", "score", (-F.col("at")).alias("back"))).alias("b")
+    pairs = out.groupBy("doc_id", "item_id").agg(best, F.max("score").alias("score"), F.max("item_words").alias("item_words"))
+    return pairs.select("doc_id", "item_id", "score", "item_words", F.col("b.run").alias("run"), (-F.col("b.back")).alias("at"))
+
+
+def _blocks(rows):
+    """Lists of (item_id, words), each within the bounds of a block."""
+    block, chars = [], 0
+    for r in rows:
+        words = words_of(r["passage"])
+        if len(words) < GRAM:
+            continue
+        if block and (len(block) >= BLOCK_ITEMS or chars + len(r["passage"]) > BLOCK_CHARS):
+            yield block
+            block, chars = [], 0
+        block.append((r["item_id"], words))
+        chars += len(r["passage"])
+    if block:
+        yield block
+
+
+def _grams(ids: np.ndarray) -> np.ndarray:
+    """One number per n-gram of consecutive words; equal n-grams have equal ones."""
+    n = len(ids) - GRAM + 1
+    code = np.zeros(max(0, n), np.uint64)
+    for k in range(GRAM if n > 0 else 0):
+        code = (code ^ ids[k : k + n].astype(np.uint64)) * _MULTIPLIER
+        code ^= code >> np.uint64(29)
+    return code.view(np.int64)
+
+
+def _block_matches(corpus: DataFrame, block: list) -> DataFrame:
+    sc = corpus.sparkSession.sparkContext
+    vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in block for w in words}))}
+    coded = [(i, np.array([vocabulary[w] for w in words])) for i, words in block]
+    known = np.unique(np.concatenate([_grams(a) for _, a in coded]))
+    around = max(len(a) for _, a in coded)
+    shared = sc.broadcast((vocabulary, known, around))
+    passages = cut(corpus.mapInPandas(_scan(shared), "doc_id long, at int, words array<int>, grams array<long>"))
+    counts = passages.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    common = dict(map(tuple, counts.toPandas().itertuples(index=False)))  # n-grams of one block at most
+    seeds = defaultdict(set)
+    for pos, (_, a) in enumerate(coded):
+        codes = _grams(a)
+        rarity = np.array([common.get(int(c), 2**62) for c in codes])  # what never occurs is no seed
+        span = WINDOW - GRAM + 1
+        for i in range(max(1, len(codes) - span + 1)):
+            seeds[int(codes[i + int(np.argmin(rarity[i : i + span]))])].add(pos)
+    looked = sc.broadcast(([i for i, _ in coded], [a for _, a in coded], {g: sorted(p) for g, p in seeds.items() if common.get(g)}))
+    return passages.mapInPandas(_align(looked), _OUT)
+
+
+def _scan(shared):
+    """Passages of each document around n-grams of the items."""
+
+    def run(batches):
+        vocabulary, known, around = shared.value
+        get = vocabulary.get
+        for b in batches:
+            out = []
+            for doc, text in zip(b["doc_id"], b["text"]):
+                ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
+                if len(ids) < GRAM:
+                    continue
+                miss = np.concatenate([[0], np.cumsum(ids < 0)])
+                full = np.flatnonzero(miss[GRAM:] == miss[:-GRAM])
+                if not len(full):
+                    continue
+                codes = _grams(ids)[full]
+                place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                hit = known[place] == codes
+                at, codes = full[hit], codes[hit]
+                if not len(at):
+                    continue
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > APART) + 1):
+                    lo, hi = max(0, at[part[0]] - around), at[part[-1]] + GRAM + around
+                    out.append((doc, lo, ids[lo:hi].astype(np.int32), np.unique(codes[part])))
+            yield pd.DataFrame(out, columns=["doc_id", "at", "words", "grams"])
+
+    return run
+
+
+def _align(looked):
+    def run(batches):
+        names, items, seeds = looked.value
+        for b in batches:
+            pairs = []
+            for row, grams in enumerate(b["grams"]):
+                for pos in sorted({p for g in grams for p in seeds.get(int(g), ())}):
+                    pairs.append((len(b["words"].iat[row]), row, pos))
+            pairs.sort()
+            out = []
+            for i in range(0, len(pairs), 128):
+                some = pairs[i : i + 128]
+                score, run_ = _smith_waterman([b["words"].iat[r] for _, r, _ in some], [items[p] for _, _, p in some])
+                for (_, r, p), s, longest in zip(some, score, run_):
+                    out.append((b["doc_id"].iat[r], names[p], s, len(items[p]), longest, b["at"].iat[r]))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_words", "run", "at"])
+
+    return run
+
+
+def _smith_waterman(texts: list, items: list) -> tuple[np.ndarray, np.ndarray]:
+    """Best local score and longest equal run of each pair, all pairs at once."""
+    width, height = max(map(len, texts)), max(map(len, items))
+    a = np.full((len(texts), width), -1, np.int32)
+    q = np.full((len(items), height), -2, np.int32)
+    for k, (t, i) in enumerate(zip(texts, items)):
+        a[k, : len(t)], q[k, : len(i)] = t, i
+    ramp = GAP * np.arange(width + 1, dtype=np.int32)
+    h = np.zeros((len(texts), width + 1), np.int32)
+    runs = np.zeros((len(texts), width + 1), np.int32)
+    best, longest = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+    for j in range(height):
+        same = a == q[:, j, None]
+        step = np.zeros_like(h)
+        step[:, 1:] = np.maximum(h[:, :-1] + np.where(same, MATCH, MISMATCH), h[:, 1:] - GAP)
+        np.maximum(step, 0, out=step)
+        h = np.maximum.accumulate(step + ramp, axis=1) - ramp
+        ahead = np.zeros_like(runs)
+        ahead[:, 1:] = np.where(same, runs[:, :-1] + 1, 0)
+        runs = ahead
+        best, longest = np.maximum(best, h.max(1)), np.maximum(longest, runs.max(1))
+    return best, longest

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import in_force
 from ..sources.tables import table
 from .clusters import Clustering, cliques, similarity_clusters, typical_members
+from .leakage import WINDOW, leaked_items
 from .neighbors import nearest_neighbours
+from .topn import top_n
 
 COMPONENTS = ["c0", "c1", "c2", "c3"]
 #: Euclidean distance up to which two vectors are similar.
@@ -30,6 +33,11 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return typical_members(_clusters(spark, d), 3)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    staff = in_force(table(spark, d, "employee").select("ssn", "dno", "salary", "loaded_at"), "ssn", "loaded_at")
+    return top_n(staff.where("salary > 0"), "dno", "salary", "ssn", 5).select("dno", "ssn", "place")
+
+
 def _neighbours(spark: SparkSession, d: str, **more) -> DataFrame:
     return nearest_neighbours(table(spark, d, "vidva_vectors"), "record_id", COMPONENTS, k=3, max_distance=SIMILAR, **more)
 
@@ -39,7 +47,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p5_found)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where(F.col("run") >= WINDOW).select("doc_id", "item_id")
+
+
+def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Also the edited copies: at least half of the item's words aligned."""
+    return _leaks(spark, d).where((F.col("score") >= F.col("item_words")) | (F.col("run") >= WINDOW))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p5_found, p7_found, p7_alignments)}
 
 _USABLE = """with v as (select distinct record_id as id, c0::double as a, c1::double as b, c2::double as c, c3::double as d from vidva_vectors
  where c0 is not null and c1 is not null and c2 is not null and c3 is not null and not isnan(c0) and not isnan(c1) and not isnan(c2) and not isnan(c3)
@@ -47,6 +68,13 @@ _USABLE = """with v as (select distinct record_id as id, c0::double as a, c1::do
 """
 
 ORACLE = {
+    "p4_found": """with force as (select ssn, dno, salary from (select *, row_number() over (partition by ssn order by loaded_at desc) as k from employee) x where k = 1)
+select dno, ssn, place::int as place from (select dno, ssn, row_number() over (partition by dno order by salary desc, ssn) as place from force where dno is not null and salary > 0) x where place <= 5""",
+    "p7_found": """with a as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents),
+b as (select item_id, regexp_extract_all(lower(passage), '[a-z]+') as w from heldout_items),
+da as (select doc_id, array_to_string(w[i:i+11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from a) x),
+ib as (select item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from b) x)
+select distinct doc_id, item_id from da join ib using (g)""",
     "p5_found": _USABLE
     + """near as (select x.id, y.id as other, sqrt((x.a-y.a)*(x.a-y.a)+(x.b-y.b)*(x.b-y.b)+(x.c-y.c)*(x.c-y.c)+(x.d-y.d)*(x.d-y.d)) as dist
  from v x join v y on y.a between x.a - 0.31 and x.a + 0.31 and x.id <> y.id),

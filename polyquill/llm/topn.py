@@ -1,0 +1,131 @@
+"""Top N items within every group, skipping row groups by their statistics.
+
+The rows are written once, clustered by (group, score descending) in sampled
+ranges with small Parquet row groups, so a huge group spreads over many files.
+The footers' statistics then bound each group's N-th score from below: a row
+group of a single group with N rows or more vouches for its minimum. Row groups
+whose maximum lies strictly below the bound of every group they contain are
+never read. Each file's remaining row groups are read in descending maximum
+score, and the current N-th scores skip more. What is left is at most N rows
+per group and file; the last selection takes the N best of those.
+"""
+
+from __future__ import annotations
+
+from urllib.parse import urlparse
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..runtime import cut, stage_path
+
+#: Rows of a Parquet row group of the clustered table.
+ROW_GROUP_ROWS = 20_000
+
+
+def top_n(
+    df: DataFrame, group: str, score: str, tie: str, n: int, row_group_rows: int = ROW_GROUP_ROWS, partitions: int | None = None
+) -> DataFrame:
+    """(group, score, tie, place): the ``n`` highest scores of every group.
+
+    Of equal scores the smaller ``tie`` comes first; rows equal in all three
+    are repeats and count once. ``place`` counts from 1. Rows with a null
+    group, score or tie are ignored, as is a NaN score. Smaller groups give
+    fewer rows, an empty table none. Group and tie are whole numbers, the
+    score any number. Other columns are ignored.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    spark = df.sparkSession
+    rows = df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{score}`").alias("s"), F.col(f"`{tie}`").alias("t")).where(
+        "g is not null and s is not null and t is not null and not isnan(double(s))"
+    )
+    rows = rows.distinct()  # else a row group of repeats would vouch for n scores
+    kinds = dict(rows.dtypes)
+    path = stage_path(spark, "topn")
+    parts = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    clustered = rows.repartitionByRange(parts, F.col("g"), F.col("s").desc(), F.col("t")).sortWithinPartitions(F.col("g"), F.col("s").desc(), F.col("t"))
+    # a row group ends where its column's pages reach this size: 8 bytes a value at most
+    (
+        clustered.write.option("parquet.block.size", row_group_rows * 24)
+        .option("parquet.block.row.count.limit", row_group_rows)
+        .option("parquet.enable.dictionary", "false")
+        .parquet(path)
+    )
+    files = spark.read.parquet(path).inputFiles()
+    if not files:
+        return _empty(df, group, score, tie, kinds)
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), parts * 4))
+    stats = listed.mapInPandas(_footers, "file string, rg int, n long, g_lo long, g_hi long, s_lo double, s_hi double")
+    stats = cut(stats)
+    sure = (
+        stats.where((F.col("g_lo") == F.col("g_hi")) & (F.col("n") >= n))
+        .groupBy(F.col("g_lo").alias("__g"))
+        .agg(F.max("s_lo").alias("bound"))
+    )
+    single = stats.where("g_lo = g_hi").join(sure, F.col("g_lo") == F.col("__g"), "left").where("bound is null or s_hi >= bound").drop("__g")
+    mixed = stats.where("g_lo <> g_hi").withColumn("bound", F.lit(None).cast("double"))
+    todo = single.unionByName(mixed).groupBy("file").agg(F.collect_list(F.struct("s_hi", "rg", "g_lo", "g_hi", "bound")).alias("rgs"))
+    best = todo.repartition(min(len(files), parts * 4), "file").mapInPandas(_reader(n), f"g {kinds['g']}, s {kinds['s']}, t {kinds['t']}")
+    w = Window.partitionBy("g").orderBy(F.col("s").desc(), "t")
+    placed = best.distinct().withColumn("place", F.row_number().over(w).cast("int")).where(F.col("place") <= n)
+    return placed.select(F.col("g").alias(group), F.col("s").alias(score), F.col("t").alias(tie), "place")
+
+
+def _empty(df, group, score, tie, kinds):
+    return df.sparkSession.createDataFrame([], f"`{group}` {kinds['g']}, `{score}` {kinds['s']}, `{tie}` {kinds['t']}, place int")
+
+
+def _open(uri: str):
+    """A Parquet file of the shared folder, on a mounted path or any store pyarrow knows."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri if urlparse(uri).scheme else "file://" + uri)
+    return pq.ParquetFile(store.open_input_file(path))
+
+
+def _footers(batches):
+    for b in batches:
+        out = []
+        for name in b["file"]:
+            meta = _open(name).metadata
+            at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+            for k in range(meta.num_row_groups):
+                rg = meta.row_group(k)
+                if not rg.num_rows:
+                    continue
+                g, s = rg.column(at["g"]).statistics, rg.column(at["s"]).statistics
+                if g is None or s is None or not (g.has_min_max and s.has_min_max):
+                    out.append((name, k, rg.num_rows, -(2**63), 2**63 - 1, -np.inf, np.inf))
+                else:
+                    out.append((name, k, rg.num_rows, int(g.min), int(g.max), float(s.min), float(s.max)))
+        yield pd.DataFrame(out, columns=["file", "rg", "n", "g_lo", "g_hi", "s_lo", "s_hi"])
+
+
+def _reader(n: int):
+    def run(batches):
+        for b in batches:
+            for name, rgs in zip(b["file"], b["rgs"]):
+                yield _best_of_file(_open(name), sorted(rgs, key=lambda r: (-r["s_hi"], r["rg"])), n)
+
+    return run
+
+
+def _best_of_file(f, rgs, n: int) -> pd.DataFrame:
+    """At most n rows per group that lies in the file."""
+    kept = pd.DataFrame({"g": [], "s": [], "t": []})
+    nth: dict[int, float] = {}  # the n-th score so far of the groups that have n
+    for r in rgs:
+        if r["g_lo"] == r["g_hi"] and r["s_hi"] < nth.get(int(r["g_lo"]), -np.inf):
+            continue
+        one = f.read_row_group(int(r["rg"]), columns=["g", "s", "t"]).to_pandas().drop_duplicates()
+        kept = one if kept.empty else pd.concat([kept, one], ignore_index=True)
+        kept = kept.sort_values(["g", "s", "t"], ascending=[True, False, True], kind="stable").drop_duplicates()
+        place = kept.groupby("g", sort=False).cumcount()
+        kept = kept[place < n]
+        last = kept[place[place < n] == n - 1]
+        nth = dict(zip(last["g"].astype(np.int64), last["s"].astype(float)))
+    return kept
