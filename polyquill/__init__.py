@@ -1 +1,9 @@
 """Relational, graph, vector and schedule analytics on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so that the executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
