@@ -1,0 +1,152 @@
+"""Mixing sources to target weights with capped repetition."""
+
+from __future__ import annotations
+
+import base64
+import re
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import stage
+
+#: A public byte-level vocabulary as ranks; every executor has the file at this path.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the pattern that splits text before the merges of that vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Sources a target table may name; the rates are worked out on the driver.
+MOST_TARGETS = 100_000
+#: Texts are encoded in pieces of about so many characters, cut before a blank run.
+PIECE = 200_000
+
+
+@dataclass(frozen=True)
+class Mix:
+    """``sized``: (doc_id, src, n_tokens, copies) of documents of a target source;
+    ``corpus``: one row per copy with its text; ``shares``: the report by source."""
+
+    sized: DataFrame
+    corpus: DataFrame
+    shares: DataFrame
+
+
+def folded(name: Column) -> Column:
+    """Source names alike but for case, blanks, hyphens and underscores."""
+    return F.regexp_replace(F.trim(F.lower(name)), r"[\s_-]+", "_")
+
+
+def mix_sources(
+    docs: DataFrame,
+    doc_id: str,
+    text: str,
+    source: str,
+    targets: DataFrame,
+    name: str = "src_name",
+    share: str = "target_share",
+    repeats: str = "max_repeats",
+    total_tokens: float | None = None,
+    seed: int = 0,
+    ranks: str = RANKS,
+) -> Mix:
+    """Draw from every source its share of all tokens.
+
+    Each document is emitted floor(rate) times, and once more with the rest as
+    probability, decided by a hash of its id and ``seed``; a document is never
+    used more than the source's cap. Without ``total_tokens`` the total is the
+    largest at which every source that has documents reaches its share under
+    its cap; shares of sources without documents are spread over the others in
+    proportion. With ``total_tokens`` sources that hit their cap fall short and
+    the report says so. Documents with a null id, null text, or a source that
+    is null or no target are left out; empty texts have no tokens and take
+    part. Targets that fold to one name add their shares under the smaller
+    cap; null or negative shares and caps are 0. Repeated documents count as
+    often as they come. Empty tables give an empty corpus.
+    """
+    named = targets.select(
+        folded(F.col(f"`{name}`")).alias("src"),
+        F.greatest(F.coalesce(F.col(f"`{share}`").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("share"),
+        F.greatest(F.coalesce(F.col(f"`{repeats}`").cast("int"), F.lit(0)), F.lit(0)).alias("cap"),
+    ).where("src is not null")
+    wanted = named.groupBy("src").agg(F.sum("share").alias("share"), F.min("cap").alias("cap")).limit(MOST_TARGETS + 1).toPandas()
+    if len(wanted) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    spark = docs.sparkSession
+    known = F.broadcast(spark.createDataFrame([(s,) for s in wanted["src"]], "__src string"))
+    part = (
+        docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), folded(F.col(f"`{source}`")).alias("src"), F.col(f"`{text}`").alias("text"))
+        .where("doc_id is not null and text is not null")
+        .join(known, F.col("src") == F.col("__src"))
+        .drop("__src")
+    )
+    sized = stage(part.mapInPandas(_token_counts(ranks), "doc_id long, src string, n_tokens long"), "sized")
+    have = sized.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).toPandas()
+    plan = _rates(wanted.merge(have, on="src", how="left").fillna({"tokens": 0, "docs": 0}), total_tokens)
+    rates = F.broadcast(spark.createDataFrame(list(zip(plan["src"], map(float, plan["rate"]))), "__src string, rate double"))
+    sized = _with_copies(sized, rates, seed)
+    corpus = _with_copies(part, rates, seed).where("copies > 0")
+    corpus = corpus.select("doc_id", F.col("src").alias("src_name"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "text")
+    used = sized.groupBy(F.col("src").alias("__s")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got"), F.sum("copies").alias("emitted"), F.max("copies").alias("most"))
+    report = spark.createDataFrame(
+        list(zip(plan["src"], map(float, plan["share"]), map(int, plan["cap"]), map(int, plan["docs"]), map(int, plan["tokens"]), map(float, plan["rate"]))),
+        "src_name string, target_share double, max_repeats int, n_docs long, n_tokens long, rate double",
+    )
+    whole = used.agg(F.sum("got")).first()[0] or 0  # one row
+    shares = report.join(used, F.col("src_name") == F.col("__s"), "left").select(
+        *report.columns,
+        F.coalesce("emitted", F.lit(0)).cast("long").alias("n_emitted"),
+        F.coalesce("most", F.lit(0)).cast("int").alias("most_copies"),
+        F.coalesce("got", F.lit(0)).cast("long").alias("tokens_emitted"),
+        (F.coalesce("got", F.lit(0)) / F.lit(float(whole or 1))).alias("real_share"),
+    )
+    return Mix(sized, corpus, shares)
+
+
+def _with_copies(rows: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
+    whole = F.floor("rate")
+    copies = (whole + (u < F.col("rate") - whole).cast("long")).cast("int")
+    return rows.join(rates, F.col("src") == F.col("__src")).withColumn("copies", copies).drop("__src", "rate")
+
+
+def _rates(plan: pd.DataFrame, total: float | None) -> pd.DataFrame:
+    """Copies per document of every source."""
+    usable = (plan["share"] > 0) & (plan["tokens"] > 0) & (plan["cap"] > 0)
+    weight = np.where(usable, plan["share"], 0.0)
+    weight = weight / weight.sum() if weight.sum() > 0 else weight
+    tokens = np.maximum(1, plan["tokens"].to_numpy(float))
+    if total is None:
+        reach = [c * t / w for c, t, w in zip(plan["cap"], tokens, weight) if w > 0]
+        total = min(reach) if reach else 0.0
+    rate = np.minimum(weight * total / tokens, plan["cap"])
+    near = np.round(rate)
+    return plan.assign(rate=np.where(np.abs(rate - near) < 1e-9, near, rate))
+
+
+def _token_counts(ranks: str):
+    def run(batches):
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+        for b in batches:
+            yield b[["doc_id", "src"]].assign(n_tokens=np.array([sum(len(encode(p)) for p in _pieces(t)) for t in b["text"]], np.int64))
+
+    return run
+
+
+def _pieces(text: str):
+    """Whole text in pieces; the encoder's stack does not take a run of millions of signs.
+
+    A cut before a blank run never changes the tokens; a longer stretch without
+    any blank is cut where it is.
+    """
+    while len(text) > 2 * PIECE:
+        m = re.compile(r"(?<=\S)\s(?=\S)").search(text, PIECE, 2 * PIECE)
+        at = m.start() if m else PIECE
+        yield text[:at]
+        text = text[at:]
+    yield text

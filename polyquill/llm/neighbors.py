@@ -180,7 +180,7 @@ def nearest_neighbours(
     n = vecs.count()
     sample = vecs.orderBy(F.xxhash64("vid"), "vid").limit(sample_rows).select(*names).toPandas().to_numpy(float)
     router = fit_router(sample.reshape(-1, len(names)), -(-n // part_rows) if n <= part_rows * MAX_PARTS else MAX_PARTS)
-    shared = vecs.sparkSession.sparkContext.broadcast(router)
+    shared = vecs.sparkSession.sparkContext.broadcast((router.centre, router.scale, router.weights, router.children, router.parts))
     placed = cut(vecs.mapInPandas(_router_pass(shared, names, probes), _schema(names) + ", n long, ids array<long>, home int, visits array<int>"))
     asking = placed if every == 1 else placed.where(F.exists("ids", lambda i: i % every == 0) | (F.col("n") > k))
     reach = float("inf") if max_distance is None else float(max_distance)
@@ -199,7 +199,7 @@ def _schema(names: list[str]) -> str:
 
 def _router_pass(shared, names, probes):
     def run(batches):
-        router = shared.value
+        router = Router(*shared.value)
         for b in batches:
             home, visits = [], []
             for i in range(0, len(b), 4096):

@@ -9,7 +9,9 @@ from ..runtime import in_force
 from ..sources.tables import table
 from .clusters import Clustering, cliques, similarity_clusters, typical_members
 from .leakage import WINDOW, leaked_items
+from .mixing import Mix, mix_sources
 from .neighbors import nearest_neighbours
+from .reading import Levels, reading_levels
 from .topn import top_n
 
 COMPONENTS = ["c0", "c1", "c2", "c3"]
@@ -60,7 +62,31 @@ def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where((F.col("score") >= F.col("item_words")) | (F.col("run") >= WINDOW))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p5_found, p7_found, p7_alignments)}
+def _mix(spark: SparkSession, d: str) -> Mix:
+    return mix_sources(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
+def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).corpus
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares
+
+
+def _levels(spark: SparkSession, d: str) -> Levels:
+    return reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_labels"), "doc_id", "rater", "band", min_words=40)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).banded().select("doc_id", "band")
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).banded().select("doc_id", "n_words", F.round("level", 3).alias("level"), "band")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p5_found, p7_found, p7_alignments, p8_corpus, p8_shares, p9_found, p9_levels)}
 
 _USABLE = """with v as (select distinct record_id as id, c0::double as a, c1::double as b, c2::double as c, c3::double as d from vidva_vectors
  where c0 is not null and c1 is not null and c2 is not null and c3 is not null and not isnan(c0) and not isnan(c1) and not isnan(c2) and not isnan(c3)
