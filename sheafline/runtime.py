@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
             return now.get()
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="polyquill-")
+        named = tempfile.mkdtemp(prefix="sheafline-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named
@@ -45,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table written between stages."""
-    return f"{shared_dir(spark).rstrip('/')}/polyquill-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/sheafline-{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
