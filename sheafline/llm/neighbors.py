@@ -216,7 +216,7 @@ def _router_pass(shared, names, probes):
 def _search(rows: DataFrame, queries: DataFrame, names: list[str], k: int, reach: float) -> DataFrame:
     """(vid, d, id): per query and part the k nearest ids of other vectors there."""
 
-    def run(key, index: pd.DataFrame, asked: pd.DataFrame):
+    def run(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"vid": [], "d": [], "id": []}
         if len(index) and len(asked):
             asked = asked.rename(columns=lambda c: c.removeprefix("q_"))
