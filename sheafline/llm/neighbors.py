@@ -229,7 +229,7 @@ def _search(rows: DataFrame, queries: DataFrame, names: list[str], k: int, reach
             line, step = x[:, axis], 128
             for i in range(0, len(q), step):
                 qs, bs = q[i : i + step], bound[i : i + step]
-                most = bs.max()
+                most = bs.max() * (1 + 1e-9)  # rounding makes equal what differs by less
                 lo = np.searchsorted(line, qs[0, axis] - most, "left") if np.isfinite(most) else 0
                 hi = np.searchsorted(line, qs[-1, axis] + most, "right") if np.isfinite(most) else len(x)
                 if hi <= lo:
