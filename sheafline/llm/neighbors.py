@@ -27,6 +27,8 @@ SAMPLE_ROWS = 8_192
 #: Distinct vectors a part should hold, and the most parts there can be.
 PART_ROWS = 4_096
 MAX_PARTS = 512
+#: A part of more than so many times PART_ROWS vectors is searched in slices.
+SLICED = 4
 #: Parts a query visits at first.
 PROBES = 3
 #: Neighbours per vertex of the sample's graph.
@@ -184,12 +186,13 @@ def nearest_neighbours(
     placed = cut(vecs.mapInPandas(_router_pass(shared, names, probes), _schema(names) + ", n long, ids array<long>, home int, visits array<int>"))
     asking = placed if every == 1 else placed.where(F.exists("ids", lambda i: i % every == 0) | (F.col("n") > k))
     reach = float("inf") if max_distance is None else float(max_distance)
-    rows = placed.select("home", "vid", *names, "ids")
+    cuts = _cuts(placed, names, part_rows)
+    rows = _row_slices(placed.select("home", "vid", *names, "ids"), cuts, names)
     first = asking.select(F.explode("visits").alias("part"), "vid", *names, F.lit(reach).alias("bound"))
-    got = cut(_best(_search(rows, first, names, k, reach), k))
+    got = cut(_best(_search(rows, _query_slices(first, cuts, names), names, k), k))
     if exact:
         more = _unvisited(placed, asking, got, names, k, reach)
-        got = cut(_best(_flat(got).unionByName(_search(rows, more, names, k, reach)), k))
+        got = cut(_best(_flat(got).unionByName(_search(rows, _query_slices(more, cuts, names), names, k)), k))
     return _expand(records, placed, got, names, k, every)
 
 
@@ -213,8 +216,44 @@ def _router_pass(shared, names, probes):
     return run
 
 
-def _search(rows: DataFrame, queries: DataFrame, names: list[str], k: int, reach: float) -> DataFrame:
-    """(vid, d, id): per query and part the k nearest ids of other vectors there."""
+def _cuts(placed: DataFrame, names: list[str], part_rows: int) -> DataFrame | None:
+    """(part, axis, cuts) of the parts too large for one task: quantiles of their widest component."""
+    sizes = placed.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > SLICED * part_rows).collect()  # at most MAX_PARTS
+    if not sizes:
+        return None
+    want = {r["home"]: -(-r["n"] // (2 * part_rows)) for r in sizes}
+    large = placed.where(F.col("home").isin(list(want)))
+    spread = [F.percentile_approx(c, [0.1, 0.9], 1000).alias(c) for c in names]
+    axis = {r["home"]: max(range(len(names)), key=lambda i: r[names[i]][1] - r[names[i]][0]) for r in large.groupBy("home").agg(*spread).collect()}
+    axes = F.element_at(F.create_map(*[F.lit(x) for kv in axis.items() for x in kv]), F.col("home"))
+    most = max(want.values())
+    value = F.element_at(F.array(*names), axes + 1)
+    steps = large.groupBy("home").agg(F.percentile_approx(value, [i / most for i in range(1, most)], 10_000).alias("q")).collect()
+    out = [(r["home"], axis[r["home"]], sorted({r["q"][most * i // want[r["home"]] - 1] for i in range(1, want[r["home"]])})) for r in steps]
+    return cut(placed.sparkSession.createDataFrame(out, "__part int, axis int, cuts array<double>"))
+
+
+def _with_cuts(df: DataFrame, part: str, cuts: DataFrame | None, names: list[str]) -> DataFrame:
+    if cuts is None:
+        return df.withColumns({"axis": F.lit(0), "cuts": F.array().cast("array<double>")})
+    joined = df.join(F.broadcast(cuts), F.col(part) == F.col("__part"), "left").drop("__part")  # at most MAX_PARTS rows
+    return joined.withColumns({"axis": F.coalesce("axis", F.lit(0)), "cuts": F.coalesce("cuts", F.array().cast("array<double>"))})
+
+
+def _row_slices(rows: DataFrame, cuts: DataFrame | None, names: list[str]) -> DataFrame:
+    value = F.element_at(F.array(*names), F.col("axis") + 1)
+    return _with_cuts(rows, "home", cuts, names).withColumn("slice", F.size(F.filter("cuts", lambda c: c <= value))).drop("axis", "cuts")
+
+
+def _query_slices(queries: DataFrame, cuts: DataFrame | None, names: list[str]) -> DataFrame:
+    """A query goes to every slice its reach touches."""
+    value, wide = F.element_at(F.array(*names), F.col("axis") + 1), F.col("bound") * (1 + 1e-9)
+    low, high = F.size(F.filter("cuts", lambda c: c <= value - wide)), F.size(F.filter("cuts", lambda c: c <= value + wide))
+    return _with_cuts(queries, "part", cuts, names).withColumn("slice", F.explode(F.sequence(low, high))).drop("axis", "cuts")
+
+
+def _search(rows: DataFrame, queries: DataFrame, names: list[str], k: int) -> DataFrame:
+    """(vid, d, id): per query and slice of a part the k nearest ids of other vectors there."""
 
     def run(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"vid": [], "d": [], "id": []}
@@ -253,8 +292,8 @@ def _search(rows: DataFrame, queries: DataFrame, names: list[str], k: int, reach
             frame = frame.sort_values(["vid", "d", "id"]).groupby("vid", sort=False).head(k)
         return frame
 
-    queries = queries.select("part", *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "part"])
-    return rows.groupBy("home").cogroup(queries.groupBy("part")).applyInPandas(run, "vid long, d double, id long")
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    return rows.groupBy("home", "slice").cogroup(queries.groupBy("q_part", "q_slice")).applyInPandas(run, "vid long, d double, id long")
 
 
 def _flat(got: DataFrame) -> DataFrame:
@@ -262,7 +301,7 @@ def _flat(got: DataFrame) -> DataFrame:
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best of at most k candidates per visited part, as one array."""
+    """The k best of at most k candidates per visited part and slice, as one array."""
     return found.groupBy("vid").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "id"))), 1, k).alias("best"))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from sheafline import runtime
+from sheafline.llm import neighbors
 from sheafline.llm.neighbors import fit_router, nearest_neighbours
 
 SCHEMA = "record_id long, c0 float, c1 float, c2 float, vid long, n int, ids string, home string, d string"
@@ -56,6 +57,14 @@ def test_beyond_the_broadcast_bound(spark, monkeypatch):
     assert got == {a: b for a, b in brute(p, 3, 0.3).items() if b}
 
 
+@pytest.mark.parametrize("limit", [0.3, None])
+def test_large_parts_are_searched_in_slices(spark, monkeypatch, limit):
+    monkeypatch.setattr(neighbors, "MAX_PARTS", 3)
+    p = points(7)
+    got = result(nearest_neighbours(frame(spark, p), "record_id", ["c0", "c1", "c2"], 3, limit, part_rows=10, probes=1))
+    assert got == {a: b for a, b in brute(p, 3, limit).items() if b}
+
+
 def test_recall_of_the_first_pass(spark):
     p = points(11, 1500)
     ask = dict(k=3, max_distance=0.3, part_rows=100)
