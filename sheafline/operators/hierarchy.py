@@ -11,8 +11,6 @@ logarithmic number of rounds instead.
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +68,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, local_limit: int = LOCAL_LI
         shrinking = gone >= MIN_SHRINK * n
         n -= gone
     kind = dict(rest.dtypes)["node"]
-    solved = _finish_local(rest, kind) if n <= local_limit else _finish_doubling(rest, n)
+    solved = _finish_local(rest, kind) if n <= local_limit else _finish_doubling(rest)
     solved = cut(solved) if peeled else solved
     for leaves in reversed(peeled):
         up = solved.select(
@@ -176,21 +174,28 @@ def _plain_ints(solve):
     return run
 
 
-def _finish_doubling(rest: DataFrame, n: int) -> DataFrame:
-    """Solve any rest in about ``2 log2(n)`` rounds of self-joins."""
-    rounds = max(1, math.ceil(math.log2(n + 1)))
+def _finish_doubling(rest: DataFrame) -> DataFrame:
+    """Solve any rest in about log2(longest chain or cycle) rounds of self-joins each."""
     jump = rest.select("node", F.col("parent").alias("nxt"))
-    for _ in range(rounds):
-        if jump.where("nxt is not null").isEmpty():
+    # the nodes reached after 2^k steps become fewer until only cycles are left
+    reached = -1
+    while True:
+        seen = jump.where("nxt is not null").agg(F.countDistinct("nxt"), F.count("nxt")).first()
+        if not seen[1] or tuple(seen) == reached:
             break
+        reached = tuple(seen)
         far = jump.select(F.col("node").alias("__a"), F.col("nxt").alias("__n"))
         jump = cut(jump.join(far, F.col("nxt") == F.col("__a"), "left").select("node", F.col("__n").alias("nxt")))
     on_cycle = cut(jump.where("nxt is not null").select(F.col("nxt").alias("__c")).distinct())
     marked = cut(rest.join(on_cycle, F.col("node") == F.col("__c"), "left").withColumn("__on", F.col("__c").isNotNull()).drop("__c"))
     ring = marked.where("__on").select("node", F.col("parent").alias("nxt"), F.col("node").alias("low"))
-    for _ in range(rounds if not on_cycle.isEmpty() else 0):
+    # the smallest node of 2^k steps; it stays as it is once all of the cycle is seen
+    changed = not on_cycle.isEmpty()
+    while changed:
         far = ring.select(F.col("node").alias("__a"), F.col("nxt").alias("__n"), F.col("low").alias("__l"))
-        ring = cut(ring.join(far, F.col("nxt") == F.col("__a")).select("node", F.col("__n").alias("nxt"), F.least("low", "__l").alias("low")))
+        both = cut(ring.join(far, F.col("nxt") == F.col("__a")).select("node", F.col("__n").alias("nxt"), F.least("low", "__l").alias("low"), F.col("low").alias("__old")))
+        changed = not both.where("low <> __old").isEmpty()
+        ring = both.drop("__old")
     top = marked.withColumn("up", F.when(~F.col("__on"), F.col("parent")))
     walk = cut(
         top.select(
@@ -200,9 +205,7 @@ def _finish_doubling(rest: DataFrame, n: int) -> DataFrame:
             F.when(F.col("up").isNull(), F.array().cast(f"array<{dict(rest.dtypes)['node']}>")).otherwise(F.array("up")).alias("ups"),
         )
     )
-    for _ in range(rounds + 1):
-        if walk.where("nxt is not null").isEmpty():
-            break
+    while not walk.where("nxt is not null").isEmpty():
         far = walk.select(F.col("node").alias("__a"), F.col("nxt").alias("__n"), F.col("top").alias("__t"), F.col("ups").alias("__u"))
         walk = cut(
             walk.join(far, F.col("nxt") == F.col("__a"), "left").select(
