@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import ceil_avg
 from ..relation import Field, Relation
 from .relational import COMPARE
 
@@ -58,12 +59,3 @@ def _expression(rel: Relation, agg: Agg) -> Column:
     if agg.function == "AVG":
         return ceil_avg(c, whole=dict(rel.df.dtypes)[rel.field(agg.column).physical] in ("tinyint", "smallint", "int", "bigint"))
     return {"MAX": F.max, "MIN": F.min, "SUM": F.sum, "COUNT": F.count}[agg.function](c)
-
-
-def ceil_avg(c: Column, whole: bool = True) -> Column:
-    """The average rounded up, exact in whole numbers for whole numbers."""
-    if not whole:
-        return F.ceil(F.avg(c)).cast("bigint")
-    total, n = F.sum(c.cast("bigint")), F.count(c)
-    # whole division cuts towards zero and the rest has the sign of the total
-    return F.when(n > 0, F.call_function("div", total, n) + (total % n > 0).cast("bigint"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.rewrites import equality
 from ..relation import Field, Relation
 
 #: The comparison signs and what they mean.
@@ -103,7 +104,7 @@ def join(
         flipped = on.left[0] == right_name
         a, b = (find(on.right), find(on.left)) if flipped else (find(on.left), find(on.right))
     x, y = F.col(a.physical), F.col(b.physical)
-    cond = x == y if not on.sign else _arithmetic(x, y, on, flipped)
+    cond = equality(x, y, on.sign, on.constant, flipped)
     df = left.df.join(right.df, cond, "inner")
     if where:
         token, op, value = where
@@ -115,15 +116,6 @@ def join(
     return out
 
 
-def _arithmetic(x: Column, y: Column, on: On, flipped: bool) -> Column:
-    """x of the left table as a function of y of the right one."""
-    k = F.lit(on.constant).cast("decimal(20,0)")
-    x, y = x.cast("decimal(20,0)"), y.cast("decimal(20,0)")
-    if on.sign == "+":
-        return x == k - y
-    return x == y - k if flipped else x == k + y
-
-
 def distinct(rel: Relation) -> Relation:
     """Each row once, in the order of first occurrence; nulls are equal here."""
     keys = list(dict.fromkeys(f.physical for f in rel.fields))

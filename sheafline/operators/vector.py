@@ -7,9 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-METRICS = ("COSINE", "EUCLIDEAN", "MANHATTAN")
-#: Scores are distances times this, cut off to whole numbers.
-SCALE = 10_000
+from ..functions.metrics import METRICS, distances, score
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, query: list[float], k: int, metric: str) -> DataFrame:
@@ -41,29 +39,4 @@ def knn(df: DataFrame, id_col: str, vec_col: str, query: list[float], k: int, me
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<float>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & (F.size("v") == len(query)) & ~F.exists("v", lambda e: e.isNull()))
     near = rows.mapInPandas(run, "RecordID long, distance float").orderBy("distance", "RecordID").limit(k)
-    return near.select("RecordID", _score(F.col("distance")).alias("Similarity_Score"), "distance")
-
-
-def _score(distance):
-    return (distance * F.lit(float(SCALE)).cast("float")).cast("float").cast("int")
-
-
-def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Column after column, so that sums run left to right in single precision."""
-    n, d = x.shape
-    zero = lambda: np.zeros(n, np.float32)
-    if metric == "COSINE":
-        dot, a, b = zero(), zero(), np.float32(0)
-        for i in range(d):
-            dot += x[:, i] * q[i]
-            a += x[:, i] * x[:, i]
-            b += q[i] * q[i]
-        norms = np.sqrt(a) * np.sqrt(b)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.float32(1) - dot / norms
-        return np.where((a == 0) | (b == 0), np.float32(0), out)
-    total = zero()
-    for i in range(d):
-        gap = x[:, i] - q[i]
-        total += np.abs(gap) if metric == "MANHATTAN" else gap * gap
-    return total if metric == "MANHATTAN" else np.sqrt(total)
+    return near.select("RecordID", score(F.col("distance")).alias("Similarity_Score"), "distance")

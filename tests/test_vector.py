@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from sheafline.operators.vector import distances, knn
+from sheafline.functions.metrics import distances
+from sheafline.operators.vector import knn
 
 V = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0, 0.0]), (3, [0.5] * 4), (4, [2.0] * 4)]
 Q = [1.0, 0.0, 0.0, 0.0]
