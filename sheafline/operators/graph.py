@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..relation import GraphModel
 from ..runtime import BROADCAST_ROWS, cut
 
-#: Admitted edges up to which a path is searched on the driver (24 bytes each).
-LOCAL_EDGES = 1_000_000
+#: Admitted edges up to which a path is searched on the driver (28 bytes each),
+#: and the rounds after which a heap takes over there.
+LOCAL_EDGES, MOST_ROUNDS = 2_000_000, 5_000
 #: Assignments of attributes to conditions one search may try.
 MOST_ASSIGNMENTS = 4_096
 
@@ -96,7 +97,7 @@ def shortest_path(g: GraphModel, start: int, end: int, conditions: list[Conditio
         least = least.join(ends.withColumnRenamed("id", f"__{c}"), (F.col(c) == F.col(f"__{c}")) & (F.col("aid") == F.col("__a")), "left_semi")
     least = cut(least)
     if least.count() <= local_edges:
-        return _local(least.toPandas(), start, end)
+        return _local(least.toArrow().to_pandas(), start, end)
     return _spread(least, start, end, len(choices))
 
 
@@ -144,12 +145,52 @@ def _assignments(g: GraphModel, start: int, end: int, conditions: list[Condition
 def _local(edges, start: int, end: int) -> Path | None:
     best = None
     for _, part in edges.groupby("aid", sort=True):
-        found = _dijkstra(part["src"].to_numpy(), part["dst"].to_numpy(), part["weight"].to_numpy(), start, end)
+        found = _search(part["src"].to_numpy(), part["dst"].to_numpy(), part["weight"].to_numpy(), start, end)
         if found and (best is None or (found.weight, len(found.edges)) < (best.weight, len(best.edges))):
             best = found
     return best
 
 
+def _search(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: int, end: int) -> Path | None:
+    """Relax whole frontiers at once; (weight, edges) of a path are one number.
+
+    Paths of very many edges, or weights too large for that number, go to a heap.
+    """
+    names, flat = np.unique(np.concatenate([[start, end], src, dst]), return_inverse=True)
+    n = len(names)
+    s, t, u, v = int(flat[0]), int(flat[1]), flat[2 : 2 + len(src)], flat[2 + len(src) :]
+    if len(weight) and int(weight.max()) * (n + 1) * (n + 1) >= 2**62:
+        return _dijkstra(src, dst, weight, start, end)
+    order = np.argsort(u, kind="stable")
+    u, v, cost = u[order], v[order], weight[order].astype(np.int64) * (n + 1) + 1
+    first = np.searchsorted(u, np.arange(n + 1))
+    label = np.full(n, 2**62, np.int64)
+    label[s] = 0
+    front = np.array([s])
+    for _ in range(MOST_ROUNDS):
+        counts = first[front + 1] - first[front]
+        at = np.repeat(first[front] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        new = np.repeat(label[front], counts) + cost[at]
+        good = new < np.minimum(label[v[at]], label[t])
+        at, new = v[at][good], new[good]
+        if not len(at):
+            break
+        np.minimum.at(label, at, new)
+        front = np.unique(at)
+    else:
+        return _dijkstra(src, dst, weight, start, end)
+    if label[t] >= 2**62:
+        return None
+
+    def before(node: int):  # of the neighbours that fit the smallest
+        x = int(np.searchsorted(names, node))
+        fits = np.flatnonzero((v == x) & (label[u] + cost == label[x]))
+        e = fits[np.argmin(u[fits])]
+        return names[u[e]], cost[e] // (n + 1)
+
+    return _walk(before, start, end)
+
+
 def _dijkstra(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: int, end: int) -> Path | None:
     order = np.lexsort((dst, src))
     src, dst, weight = src[order], dst[order], weight[order]
@@ -181,40 +222,36 @@ def _walk(before, start: int, end: int) -> Path:
 
 
 def _spread(edges: DataFrame, start: int, end: int, choices: int) -> Path | None:
-    """Frontier relaxation; (dist, hops, prev) is minimised in that order."""
+    """Frontier relaxation; (dist, hops) is minimised, then the node before."""
     spark = edges.sparkSession
-    label = F.struct("dist", "hops", "prev", "w")
-    one = "aid int, node long, dist long, hops int, prev long, w long"
-    best = cut(spark.createDataFrame([(i, start, 0, 0, start, 0) for i in range(choices)], one))
-    front = best
+    # what a node has stays (old = 0) unless something better comes (old = 1)
+    label = F.struct("dist", "hops", "old", "prev", "w")
+    one = "aid int, node long, dist long, hops int, old int, prev long, w long"
+    state = cut(spark.createDataFrame([(i, start, 0, 0, 1, start, 0) for i in range(choices)], one))
     bound = None
     while True:
-        step = front.select(F.col("aid").alias("__a"), F.col("node").alias("__u"), F.col("dist").alias("__d"), F.col("hops").alias("__h"))
-        reached = step.join(edges, (F.col("__a") == F.col("aid")) & (F.col("__u") == F.col("src"))).select(
+        fresh, bound = state.agg(F.sum("old"), F.min(F.when(F.col("node") == end, F.col("dist")))).first()
+        if not fresh:
+            break
+        front = state.where("old = 1").select(F.col("aid").alias("__a"), F.col("node").alias("__u"), F.col("dist").alias("__d"), F.col("hops").alias("__h"))
+        front = F.broadcast(front) if fresh <= BROADCAST_ROWS else front
+        reached = edges.join(front, (F.col("__a") == F.col("aid")) & (F.col("__u") == F.col("src"))).select(
             "aid",
             F.col("dst").alias("node"),
             (F.col("__d") + F.col("weight")).alias("dist"),
             (F.col("__h") + 1).alias("hops"),
+            F.lit(1).alias("old"),
             F.col("__u").alias("prev"),
             F.col("weight").alias("w"),
         )
         if bound is not None:  # weights are not negative: what is no better cannot become so
             reached = reached.where((F.col("dist") < bound) | ((F.col("dist") == bound) & (F.col("node") == end)))
-        new = reached.groupBy("aid", "node").agg(F.min(label).alias("m")).select("aid", "node", "m.*")
-        old = best.select(F.col("aid").alias("__a"), F.col("node").alias("__n"), F.struct("dist", "hops").alias("__old"))
-        front = cut(
-            new.join(old, (F.col("aid") == F.col("__a")) & (F.col("node") == F.col("__n")), "left")
-            .where(F.col("__old").isNull() | (F.struct("dist", "hops") < F.col("__old")))
-            .select("aid", "node", "dist", "hops", "prev", "w")
-        )
-        if front.isEmpty():
-            break
-        best = cut(best.unionByName(front).groupBy("aid", "node").agg(F.min(label).alias("m")).select("aid", "node", "m.*"))
-        bound = best.where(F.col("node") == end).agg(F.min("dist")).first()[0]
-    got = best.where(F.col("node") == end).orderBy("dist", "hops", "aid").first()
+        both = state.withColumn("old", F.lit(0)).unionByName(reached)
+        state = cut(both.groupBy("aid", "node").agg(F.min(label).alias("m")).select("aid", "node", "m.*"))
+    got = state.where(F.col("node") == end).orderBy("dist", "hops", "aid").first()
     if got is None:
         return None
-    mine = best.where(F.col("aid") == got["aid"])
+    mine = state.where(F.col("aid") == got["aid"])
 
     def before(v: int):  # one lookup per step of the path found
         r = mine.where(F.col("node") == v).first()

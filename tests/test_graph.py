@@ -1,6 +1,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 
 from sheafline.operators import graph
@@ -74,6 +75,20 @@ def brute(n, edges, s, t):
     return dist.get(t)
 
 
+def test_frontiers_equal_the_heap(monkeypatch):
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        src, dst, w = rng.integers(0, 20, 60), rng.integers(0, 20, 60), rng.integers(0, 6, 60)
+        a, b = graph._search(src, dst, w, 0, 7), graph._dijkstra(src, dst, w, 0, 7)
+        assert (a is None) == (b is None)
+        if a:
+            assert (a.weight, len(a.edges)) == (b.weight, len(b.edges)) and a.nodes[0] == 0 and a.nodes[-1] == 7
+    chain = np.arange(300)
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 50)
+    assert graph._search(chain, chain + 1, chain * 0 + 2, 0, 300).weight == 600
+    assert graph._search(chain, chain + 1, chain * 0 + 2**58, 0, 2).weight == 2**59
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_joins_equal_local_search_on_random_graphs(spark, seed):
     rng = random.Random(seed)
