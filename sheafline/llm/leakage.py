@@ -101,7 +101,7 @@ def _block_matches(corpus: DataFrame, block: list) -> DataFrame:
     shared = sc.broadcast((vocabulary, known, around))
     passages = cut(corpus.mapInPandas(_scan(shared), "doc_id long, at int, words array<int>, grams array<long>"))
     counts = passages.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    common = dict(map(tuple, counts.toPandas().itertuples(index=False)))  # n-grams of one block at most
+    common = dict(map(tuple, counts.toArrow().to_pandas().itertuples(index=False)))  # n-grams of one block at most
     seeds = defaultdict(set)
     for pos, (_, a) in enumerate(coded):
         codes = _grams(a)

@@ -70,7 +70,7 @@ def mix_sources(
         F.greatest(F.coalesce(F.col(f"`{share}`").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("share"),
         F.greatest(F.coalesce(F.col(f"`{repeats}`").cast("int"), F.lit(0)), F.lit(0)).alias("cap"),
     ).where("src is not null")
-    wanted = named.groupBy("src").agg(F.sum("share").alias("share"), F.min("cap").alias("cap")).limit(MOST_TARGETS + 1).toPandas()
+    wanted = named.groupBy("src").agg(F.sum("share").alias("share"), F.min("cap").alias("cap")).limit(MOST_TARGETS + 1).toArrow().to_pandas()
     if len(wanted) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
     spark = docs.sparkSession
@@ -82,7 +82,7 @@ def mix_sources(
         .drop("__src")
     )
     sized = stage(part.mapInPandas(_token_counts(ranks), "doc_id long, src string, n_tokens long"), "sized")
-    have = sized.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).toPandas()
+    have = sized.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).toArrow().to_pandas()
     plan = _rates(wanted.merge(have, on="src", how="left").fillna({"tokens": 0, "docs": 0}), total_tokens)
     rates = F.broadcast(spark.createDataFrame(list(zip(plan["src"], map(float, plan["rate"]))), "__src string, rate double"))
     sized = _with_copies(sized, rates, seed)

@@ -180,7 +180,7 @@ def nearest_neighbours(
     names = [c for c in records.columns if c != "id"]
     vecs = cut(distinct_vectors(records, k + 1))
     n = vecs.count()
-    sample = vecs.orderBy(F.xxhash64("vid"), "vid").limit(sample_rows).select(*names).toPandas().to_numpy(float)
+    sample = vecs.orderBy(F.xxhash64("vid"), "vid").limit(sample_rows).select(*names).toArrow().to_pandas().to_numpy(float)
     router = fit_router(sample.reshape(-1, len(names)), -(-n // part_rows) if n <= part_rows * MAX_PARTS else MAX_PARTS)
     shared = vecs.sparkSession.sparkContext.broadcast((router.centre, router.scale, router.weights, router.children, router.parts))
     placed = cut(vecs.mapInPandas(_router_pass(shared, names, probes), _schema(names) + ", n long, ids array<long>, home int, visits array<int>"))
