@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.rewrites import equality
+from ..plans.rewrites import equality, wide_type
 from ..relation import Field, Relation
 
 #: The comparison signs and what they mean.
@@ -104,7 +104,8 @@ def join(
         flipped = on.left[0] == right_name
         a, b = (find(on.right), find(on.left)) if flipped else (find(on.left), find(on.right))
     x, y = F.col(a.physical), F.col(b.physical)
-    cond = equality(x, y, on.sign, on.constant, flipped)
+    kinds = [dict(left.df.dtypes)[a.physical], dict(right.df.dtypes)[b.physical]]
+    cond = equality(x, y, on.sign, on.constant, flipped, wide_type(kinds, on.constant))
     df = left.df.join(right.df, cond, "inner")
     if where:
         token, op, value = where

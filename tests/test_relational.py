@@ -3,6 +3,7 @@ import pytest
 from sheafline.operators import aggregate, ordering, relational
 from sheafline.operators.aggregate import Agg
 from sheafline.operators.relational import On
+from sheafline.plans.rewrites import wide_type
 from sheafline.relation import Relation, block_geometry, matrix_geometry
 
 
@@ -80,6 +81,10 @@ def test_arithmetic_join_hashes_and_does_not_overflow(spark):
     plan = out.df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert rows(out) == []
+    huge = 2**63 - 1
+    a, b = rel(spark, [(huge,), (5,)], "x bigint", "A"), rel(spark, [(huge,), (-2,)], "y bigint", "B")
+    assert rows(relational.join(a, b, "A", "B", On(("A", "x"), ("B", "y"), "+", 3))) == [(5, -2)]
+    assert wide_type(["int", "smallint"], 5) == "bigint" != wide_type(["int", "bigint"], 5) == wide_type(["int"], 2**62)
 
 
 def test_distinct_keeps_first_occurrence(t):
