@@ -6,6 +6,10 @@ those passages as word numbers. From the counts of all those n-grams over the
 whole corpus every window of an item picks its rarest n-gram as seed; passages
 holding a seed are joined to the seed's items and scored by Smith-Waterman
 alignment over words, which also gives the longest run of equal words.
+
+Edited copies need not share any n-gram, so they are found by a bound instead: a
+score of at least the item's words takes so many of the item's words within so
+few words of the document that counting them leaves few pairs to align.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from ..runtime import cut
 #: Words of an n-gram; of an item's window; items and characters of a block.
 GRAM, WINDOW = 5, 12
 BLOCK_ITEMS, BLOCK_CHARS = 2_000, 4_000_000
+#: Words of documents aligned at once for edited copies, unless one document has more.
+BATCH_WORDS = 100_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Hits farther apart than this many words belong to different passages.
 APART = 64
@@ -38,12 +44,14 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, edited: bool = True) -> DataFrame:
     """(doc_id, item_id, score, item_words, run, at): best alignment per pair.
 
     A pair is reported if the document holds a seed of the item, that is, an
     n-gram of GRAM words; every run of WINDOW or more common words holds one,
-    and so does any shorter item that occurs whole and has GRAM words. ``score``
+    and so does any shorter item that occurs whole and has GRAM words. With
+    ``edited`` every pair whose score reaches ``item_words`` is reported too,
+    whether it shares an n-gram or not. ``score``
     is the Smith-Waterman score over words (MATCH, MISMATCH, GAP), at most
     MATCH times ``item_words``; ``run`` the longest run of equal words and
     ``at`` the word of the document where the best passage starts. Null or
@@ -60,7 +68,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     )
     out = spark.createDataFrame([], _OUT)
     for block in _blocks(wanted.distinct().orderBy("item_id").toLocalIterator()):
-        out = out.unionByName(_block_matches(corpus, block))
+        out = out.unionByName(_block_matches(corpus, block, edited))
     best = F.max(F.struct("run", "score", (-F.col("at")).alias("back"))).alias("b")
     pairs = out.groupBy("doc_id", "item_id").agg(best, F.max("score").alias("score"), F.max("item_words").alias("item_words"))
     return pairs.select("doc_id", "item_id", "score", "item_words", F.col("b.run").alias("run"), (-F.col("b.back")).alias("at"))
@@ -92,14 +100,14 @@ def _grams(ids: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
 
 
-def _block_matches(corpus: DataFrame, block: list) -> DataFrame:
+def _block_matches(corpus: DataFrame, block: list, edited: bool) -> DataFrame:
     sc = corpus.sparkSession.sparkContext
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in block for w in words}))}
     coded = [(i, np.array([vocabulary[w] for w in words])) for i, words in block]
     known = np.unique(np.concatenate([_grams(a) for _, a in coded]))
     around = max(len(a) for _, a in coded)
-    shared = sc.broadcast((vocabulary, known, around))
-    passages = cut(corpus.mapInPandas(_scan(shared), "doc_id long, at int, words array<int>, grams array<long>"))
+    shared = sc.broadcast((vocabulary, known, around, coded if edited else None))
+    passages = cut(corpus.mapInPandas(_scan(shared), f"{_OUT}, words array<int>, grams array<long>"))
     counts = passages.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     common = dict(map(tuple, counts.toArrow().to_pandas().itertuples(index=False)))  # n-grams of one block at most
     seeds = defaultdict(set)
@@ -110,19 +118,109 @@ def _block_matches(corpus: DataFrame, block: list) -> DataFrame:
         for i in range(max(1, len(codes) - span + 1)):
             seeds[int(codes[i + int(np.argmin(rarity[i : i + span]))])].add(pos)
     looked = sc.broadcast(([i for i, _ in coded], [a for _, a in coded], {g: sorted(p) for g, p in seeds.items() if common.get(g)}))
-    return passages.mapInPandas(_align(looked), _OUT)
+    aligned = passages.where("item_id is not null").select("doc_id", "item_id", "score", "item_words", "run", "at")
+    return passages.where("item_id is null").select("doc_id", "at", "words", "grams").mapInPandas(_align(looked), _OUT).unionByName(aligned)
+
+
+class _Bound:
+    """Pairs that may score at least the item's number of words n.
+
+    Of m equal words and e others such a score has 2m - e >= n, so m >= n / 2;
+    it spans at most m + e words of the document, so a span of s words takes
+    m >= (n + s) / 3 and s <= 2n. The m equal words are words of the item, none
+    more often than there.
+    """
+
+    def __init__(self, coded: list, size: int):
+        self.names = [i for i, _ in coded]
+        self.items = [a for _, a in coded]
+        self.counts = [np.unique(a, return_counts=True) for a in self.items]
+        self.half = np.array([-(-len(a) // 2) for a in self.items])
+        # the k-th occurrence of a word is a feature; the items with it are listed
+        most = np.zeros(size, np.int64)
+        for w, c in self.counts:
+            most[w] = np.maximum(most[w], c)
+        self.most, self.base = most, np.cumsum(most) - most
+        feature = np.concatenate([np.repeat(self.base[w], c) + _ranks(c) for w, c in self.counts])
+        order = np.argsort(feature, kind="stable")
+        self.holders = np.repeat(np.arange(len(coded)), [len(a) for a in self.items])[order].astype(np.int32)
+        self.first = np.searchsorted(feature[order], np.arange(most.sum() + 1))
+
+    def pairs(self, ids: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(item, word where the first window starts, words to align) for a document."""
+        w, c = np.unique(ids[ids >= 0], return_counts=True)
+        c = np.minimum(c, self.most[w])
+        if c.sum() < self.half.min():
+            return []
+        feature = np.repeat(self.base[w], c) + _ranks(c)
+        listed = self.first[feature + 1] - self.first[feature]
+        shared = np.bincount(self.holders[np.repeat(self.first[feature], listed) + _ranks(listed)], minlength=len(self.items))
+        out = []
+        for pos in np.flatnonzero(shared >= self.half):
+            found = self._windows(ids, int(pos))
+            if found is not None:
+                out.append((int(pos), *found))
+        return out
+
+    def _windows(self, ids: np.ndarray, pos: int) -> tuple[int, np.ndarray] | None:
+        n, (words, counts) = len(self.items[pos]), self.counts[pos]
+        place = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+        at = np.flatnonzero(words[place] == ids)
+        # no alignment bridges more than 2n foreign words, so longer stretches shrink
+        new = np.cumsum(np.minimum(np.diff(at, prepend=at[0] - 1), 2 * n + 1)) - 1
+        order = np.argsort(place[at], kind="stable")
+        word, spot = place[at][order], new[order]
+        back = np.arange(len(word)) - counts[word]
+        same = (back >= 0) & (word[back] == word)
+        # starts of windows in which the item's count of the word is used up before this one
+        used = np.where(same, spot[back] + 1, 0)
+        best = None
+        for span, least in ((n, -(-n // 2)), (n + n // 2, -(-2 * n // 3)), (2 * n, -(-5 * n // 6))):
+            lo = np.maximum(used, spot - span + 1)
+            ok = lo <= spot
+            size = int(new[-1]) + 2
+            held = np.cumsum(np.bincount(lo[ok], minlength=size) - np.bincount(spot[ok] + 1, minlength=size))
+            start = np.flatnonzero(held >= least)
+            if len(start):
+                begin = int(at[np.searchsorted(new, start[0])])
+                best = begin if best is None else min(best, begin)
+        if best is None:
+            return None
+        text = np.full(int(new[-1]) + 1, -1, np.int32)
+        text[new] = ids[at]
+        return best, text
+
+    def aligned(self, found: list) -> list[tuple]:
+        """Rows of _OUT for (doc, item, at, words), in batches of bounded size."""
+        found.sort(key=lambda f: (len(f[3]), f[0], f[1]))
+        out, some = [], []
+        for k, f in enumerate(found):
+            some.append(f)
+            if k + 1 == len(found) or len(some) == 128 or len(found[k + 1][3]) * (len(some) + 1) > BATCH_WORDS:
+                score, run = _smith_waterman([f[3] for f in some], [self.items[f[1]] for f in some])
+                out += [(doc, self.names[p], s, len(self.items[p]), r, at) for (doc, p, at, _), s, r in zip(some, score, run) if s >= len(self.items[p])]
+                some = []
+        return out
+
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """0 to count - 1 for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _scan(shared):
-    """Passages of each document around n-grams of the items."""
+    """Passages of each document around n-grams of the items, and the alignments of edited copies."""
 
     def run(batches):
-        vocabulary, known, around = shared.value
+        vocabulary, known, around, coded = shared.value
+        bound = _Bound(coded, len(vocabulary)) if coded else None
         get = vocabulary.get
         for b in batches:
-            out = []
+            out, near = [], []
             for doc, text in zip(b["doc_id"], b["text"]):
                 ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
+                if bound is not None:
+                    near += [(doc, *f) for f in bound.pairs(ids)]
                 if len(ids) < GRAM:
                     continue
                 miss = np.concatenate([[0], np.cumsum(ids < 0)])
@@ -138,7 +236,13 @@ def _scan(shared):
                 for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > APART) + 1):
                     lo, hi = max(0, at[part[0]] - around), at[part[-1]] + GRAM + around
                     out.append((doc, lo, ids[lo:hi].astype(np.int32), np.unique(codes[part])))
-            yield pd.DataFrame(out, columns=["doc_id", "at", "words", "grams"])
+            passages = pd.DataFrame(out, columns=["doc_id", "at", "words", "grams"])
+            columns = ["doc_id", "item_id", "score", "item_words", "run", "at"]
+            for c in columns[1:5]:
+                passages[c] = pd.Series(pd.NA, passages.index, "Int64")
+            yield passages[[*columns, "words", "grams"]]
+            if near:
+                yield pd.DataFrame(bound.aligned(near), columns=columns).assign(words=None, grams=None)
 
     return run
 

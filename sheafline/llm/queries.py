@@ -49,12 +49,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "passage")
+def _leaks(spark: SparkSession, d: str, **more) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "passage", **more)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where(F.col("run") >= WINDOW).select("doc_id", "item_id")
+    return _leaks(spark, d, edited=False).where(F.col("run") >= WINDOW).select("doc_id", "item_id")
 
 
 def p7_alignments(spark: SparkSession, d: str) -> DataFrame:

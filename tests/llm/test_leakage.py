@@ -64,6 +64,35 @@ def test_edited_copies_score(spark):
     assert r[0]["score"] == 2 * 13 - 1 - 1 and r[0]["item_words"] == 14
 
 
+def test_edited_copies_beside_verbatim_ones(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(6, 40)))) for i in range(15)]
+    items += [(20 + i, " ".join([*rng.choices(WORDS[:3], k=8), *rng.choices(WORDS, k=rng.randint(0, 9))])) for i in range(5)]
+    docs = [(1000 + i, f"before {p} after") for i, p in items]  # these make intact n-grams the common ones
+    for d in range(150):
+        text = rng.choices(["the", "of", *WORDS], k=rng.randint(0, 80))
+        words = rng.choice(items)[1].split()
+        every = rng.choice([2, 3, 4, 5, 8])
+        edit = rng.choice([lambda w: ["zzz"], lambda w: [], lambda w: [w, "zzz"], lambda w: [w, rng.choice(WORDS)]])
+        copy = [x for k, w in enumerate(words) for x in (edit(w) if k % every == every - 1 else [w])]
+        if rng.random() < 0.2:
+            copy = [x for w in words for x in (w, "zzz")]  # no two words of the item in a row
+        if d % 10 == 0:
+            text = ["far"] * 500 + text
+        docs.append((d, " ".join(text[: len(text) // 2] + copy + text[len(text) // 2 :])))
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["run"]) for r in run(spark, docs, items).collect()}
+    names = {w: k for k, w in enumerate(sorted({w for _, t in docs + items for w in t.split()}))}
+    number = lambda t: np.array([names[w] for w in t.split()])
+    expected = 0
+    for i, p in items:
+        score, longest_run = leakage._smith_waterman([number(t) for _, t in docs], [number(p)] * len(docs))
+        for (d, _), s, r in zip(docs, score, longest_run):
+            if s >= len(p.split()):
+                expected += 1
+                assert got[d, i] == (s, r)
+    assert expected > 150
+
+
 def test_smith_waterman_equals_plain():
     rng = np.random.default_rng(0)
     texts = [rng.integers(-1, 5, rng.integers(5, 40)).astype(np.int32) for _ in range(20)]
