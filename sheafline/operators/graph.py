@@ -130,13 +130,15 @@ def _assignments(g: GraphModel, start: int, end: int, conditions: list[Condition
         else:
             fits = [(False, i, v) for i in at for v in ([c.value] if c.value is not None else [0, 1])]
         options.append(fits)
-    out = {}
-    for pick in itertools.islice(itertools.product(*options), MOST_ASSIGNMENTS + 1):
-        nodes = tuple(sorted({(i, v) for on, i, v in pick if on}))
-        edges = tuple(sorted({(i, v) for on, i, v in pick if not on}))
-        out[nodes, edges] = None
-        if len(out) > MOST_ASSIGNMENTS:
-            raise ValueError("too many combinations of attributes")
+    out = {((), ()): None}
+    for fits in options:  # condition by condition, so that equal choices are one before the next
+        merged = {}
+        for (nodes, edges), (on, i, v) in itertools.product(out, fits):
+            pick = {(i, v)}
+            merged[(tuple(sorted({*nodes, *pick})), edges) if on else (nodes, tuple(sorted({*edges, *pick})))] = None
+            if len(merged) > MOST_ASSIGNMENTS:
+                raise ValueError("too many combinations of attributes")
+        out = merged
     # a choice that demands less than another one includes it
     sets = [(set(a), set(b)) for a, b in out]
     return [k for k, (a, b) in zip(out, sets) if not any((x <= a and y <= b) and (x, y) != (a, b) for x, y in sets)]

@@ -106,3 +106,14 @@ def test_joins_equal_local_search_on_random_graphs(spark, seed):
             assert (p.weight if p else None) == want
             if p:
                 assert sum(e[2] for e in p.edges) == p.weight and [e[0] for e in p.edges] + [t] == p.nodes
+
+
+def test_repeated_open_conditions_try_every_attribute(spark):
+    edges = [(0, 1, 9, 0, 0, 0), (0, 1, 8, 0, 1, 1), (0, 1, 2, 1, 0, 1)]
+    for keep in range(3):
+        lone = [(0, 1, 1, *[1 if k == keep else 7 for k in range(3)])]  # only this attribute is 0 or 1
+        g = model(spark, [(0, 0), (1, 0)], lone, edge_attrs=3)
+        assert graph.shortest_path(g, 0, 1, [Condition(False, None)] * 5).weight == 1
+        assert graph.shortest_path(g, 0, 1, [Condition(False, None)] * 9).weight == 1
+    g = model(spark, [(0, 0), (1, 0)], edges, edge_attrs=3)
+    assert graph.shortest_path(g, 0, 1, [Condition(False, None)] * 5).weight == 2
