@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from sheafline.operators import balanced
 from sheafline.operators.balanced import heavy_keys, per_key
 
 SCHEMA = "k long, v int, t int, n string, total string, __pid string"
@@ -31,13 +32,29 @@ def test_equals_brute_force_with_a_heavy_key(spark, parts):
     assert got == brute(rows)
 
 
-def test_a_heavy_key_spreads_over_partitions(spark):
-    df = spark.range(20_000).selectExpr("case when id % 10 < 8 then 1 else id end as k", "1 as v", "id as t")
-    ranged = df.repartitionByRange(8, "k", "t")
-    sizes = [r[0] for r in ranged.selectExpr("spark_partition_id() as p").groupBy("p").count().select("count").collect()]
-    assert max(sizes) < 2 * 20_000 / 8
+@pytest.mark.parametrize("order", ["id", "cast(null as bigint)", "7", "id % 3", "cast('nan' as double)"])
+def test_a_heavy_key_spreads_over_partitions(spark, monkeypatch, order):
+    seen = []
+
+    def watched(rows, partitions):
+        out = ranged(rows, partitions)
+        seen.extend(r[0] for r in out.selectExpr("spark_partition_id() as p").groupBy("p").count().select("count").collect())
+        return out
+
+    ranged = balanced._ranged
+    monkeypatch.setattr(balanced, "_ranged", watched)
+    df = spark.range(40_000).selectExpr("case when id % 10 < 8 then 1 else id end as k", "1 as v", f"{order} as t")
     got = per_key(df, "k", "v", "t", 8)
-    assert [(r["key"], r["n_rows"]) for r in heavy_keys(got, 0.02).collect()] == [(1, 16_000)]
+    assert [(r["key"], r["n_rows"], r["total"]) for r in heavy_keys(got, 0.02).collect()] == [(1, 32_000, 32_000)]
+    assert max(seen) < 2 * sum(seen) / 8
+
+
+def test_whole_numbers_are_exact(spark):
+    big = 2**62
+    rows = [(1, big + 1, -(2**63)), (1, big + 2, 2**63 - 1), (1, big, None), (2, 2**53 + 1, 2**53), (2, -1, 2**53 + 1)]
+    got = {r["key"]: r for r in per_key(spark.createDataFrame(rows, "k int, v long, t long"), "k", "v", "t", 2).collect()}
+    assert (got[1]["total"], got[1]["max_gap"]) == (3 * big + 3, 2**63 - 1)
+    assert (got[2]["total"], got[2]["first_order"], got[2]["max_gap"]) == (2**53, 2**53, 1)
 
 
 def test_timestamps_strings_and_dirt(spark):
