@@ -1,6 +1,6 @@
 import random
 
-import pyarrow.parquet as pq
+import pyarrow as pa
 import pytest
 
 from sheafline.llm import topn
@@ -29,7 +29,7 @@ def test_equals_brute_force(spark, n, row_group):
     rng = random.Random(n)
     rows = [(rng.choice([7, 7, 7, *range(30), None]), rng.choice([None, 0, -5, *range(40)]), rng.choice([None, *range(300)])) for _ in range(3000)]
     rows += [(7, 39, 1)] * 500  # one row repeated: counts once
-    assert run(spark, rows, n, row_group_rows=row_group, partitions=4) == brute(rows, n)
+    assert run(spark, rows, n, head_rows=row_group, partitions=4) == brute(rows, n)
 
 
 def test_ties_and_empty(spark):
@@ -40,22 +40,42 @@ def test_ties_and_empty(spark):
         run(spark, rows, 0)
 
 
-def test_row_groups_below_the_bound_are_not_read(spark, tmp_path):
-    spark.range(20_000).selectExpr("id % 2 as g", "cast(id as int) as s", "id as t").repartitionByRange(2, "g").sortWithinPartitions(
-        "g", "s"
-    ).write.option("parquet.block.row.count.limit", 500).parquet(str(tmp_path / "t"))
-    f = next((tmp_path / "t").glob("*.parquet"))
-    import pandas as pd
-
-    stats = next(topn._footers([pd.DataFrame({"file": [str(f)]})]))
-    assert len(stats) >= 20
+def test_row_groups_below_the_bound_are_not_read(spark):
+    rows = [(g, s, s * 3 + g) for g in (1, 2) for s in range(4000)] + [(g, s, s) for g in range(10, 300) for s in range(g % 9)]
+    seen = {}
+    assert run(spark, rows, 5, head_rows=64, partitions=4, seen=seen) == brute(rows, 5)
+    small = sum(1 for r in rows if r[0] >= 10)
+    assert seen["rows_written"] == len(rows)
+    assert seen["rows_read"].value < small + 4 * 500
+    assert seen["groups_read"].value < seen["groups_written"]
+
+
+def test_row_groups_end_where_large_groups_end():
+    sizes = {1: 3, 2: 1000, 3: 5, 4: 63, 5: 64, 6: 1, 7: 2, 8: 200}
+    g = [k for k, m in sizes.items() for _ in range(m)]
+    t = pa.table({"g": g, "s": list(range(len(g)))})
+    for step in (1, 7, 64, 5000):
+        parts = list(topn._row_groups((b for b in t.to_batches(max_chunksize=step)), 64))
+        assert pa.concat_tables(parts).equals(t)
+        held = [p.column("g").unique().to_pylist() for p in parts]
+        assert all(len(h) == 1 for h in held if {2, 5, 8} & set(h))
+        assert [p.num_rows for p, h in zip(parts, held) if h == [2]] == [64, 128, 256, 512, 40]
+
+
+def test_several_groups_are_skipped_after_a_look_at_them(tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "t.parquet")
+    with pq.ParquetWriter(path, pa.schema([("g", pa.int64()), ("s", pa.int32()), ("t", pa.int64())])) as w:
+        for g, s in (([1] * 5 + [2] * 5, [9] * 10), ([1, 2], [3, 4]), ([1, 3], [5, 1]), ([2], [9])):
+            w.write_table(pa.table({"g": g, "s": pa.array(s, pa.int32()), "t": list(range(len(g)))}, schema=w.schema))
+    rgs = [{"rg": k, "n": n, "g_lo": lo, "g_hi": hi, "s_hi": hs} for k, (n, lo, hi, hs) in enumerate([(10, 1, 2, 9.0), (2, 1, 2, 4.0), (2, 1, 3, 5.0), (1, 2, 2, 9.0)])]
     read = []
 
-    class Watched(pq.ParquetFile):
-        def read_row_group(self, i, **how):
-            read.append(i)
-            return super().read_row_group(i, **how)
+    class Counter:
+        def add(self, n):
+            read.append(n)
 
-    rgs = stats.assign(bound=None).to_dict("records")
-    best = topn._best_of_file(Watched(f), sorted(rgs, key=lambda r: -r["s_hi"]), 5)
-    assert len(best) == 5 * best["g"].nunique() and len(read) <= len(rgs) // 2
+    best = topn._best_of_file(pq.ParquetFile(path), sorted(rgs, key=lambda r: (-r["s_hi"], r["rg"])), 3, {"groups_read": Counter(), "rows_read": Counter()})
+    assert read[1::2] == [10, 1, 2]  # the second one holds groups 1 and 2 alone, both above it
+    assert len(best) == 7
