@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +64,19 @@ class Session:
             return getattr(self, "_" + type(command).__name__.lower())(command)
         except BindError as e:
             return str(e)
-
     def run_script(self, path: str) -> list[str]:
         out = []
         with open(path) as f:
             for line in f:
                 if self.done:
                     break
-                out.append(self.execute(line))
+                try:
+                    out.append(self.execute(line))
+                except files.FormatError as e:
+                    out.append(f"FORMAT ERROR: {e}")
+                except (PySparkException, Py4JJavaError, ValueError, TypeError, OSError) as e:  # a script goes on after a command that fails
+                    said = str(e.java_exception.getMessage() if isinstance(e, Py4JJavaError) else e).splitlines()
+                    out.append(f"ERROR: {said[0] if said else type(e).__name__}")
         return out
 
     def register(self, name: str, rel: Relation, rows: int | None = None) -> None:
@@ -218,8 +225,7 @@ class Session:
         return ""
 
     def _keep_unless_empty(self, name: str, rel: Relation) -> None:
-        """Empty results of JOIN and GROUP BY are not registered; what is computed for that is kept."""
-        rel = replace(rel, df=cut(rel.df))
+        """Empty results of JOIN and GROUP BY are not registered; one row tells, the rest stays lazy."""
         if not rel.df.isEmpty():
             self.register(name, rel)
 
@@ -320,6 +326,7 @@ class Session:
                 ("Model", "Relational Table"),
                 ("Columns", ", ".join(t.rel.names)),
                 ("Column Count", len(t.rel.fields)),
+                ("Distinct Values", ", ".join(f"{r['name']}={r['n_distinct']}" for r in aggregate.distinct_counts(t.rel).orderBy("place").collect())),
                 ("Row Count", self._rows(t)),
                 ("Block Count", blocks),
                 ("Rows / Block", per),
@@ -365,11 +372,10 @@ class Session:
         return ""
 
     def _setbuffer(self, c: C.SetBuffer) -> str:
-        """Sets the fan-out of shuffles, as the buffer size is that of partitions and merges."""
+        """The size is kept and shown; Spark sizes its shuffles itself, so results and other users are not touched."""
         if c.size not in BUFFERS:
             raise _semantic()
         self.buffer = c.size
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(max(c.size, self.spark.sparkContext.defaultParallelism)))
         return ""
 
     def _quit(self, c: C.Quit) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import ceil_avg
@@ -50,6 +50,24 @@ def group_by(rel: Relation, keys: list[str], having: tuple[Agg, str, int | Agg],
     return out
 
 
+def distinct_counts(rel: Relation) -> DataFrame:
+    """(place, name, n_distinct) for every column, in order; nulls do not count.
+
+    One aggregate over (column, value) pairs with map-side combine, so that no
+    task holds the values of a column. An empty relation has 0 everywhere.
+    """
+    # two hashes of different seeds stand for a value, so columns of all types share one long form
+    values = F.array(*[F.struct(F.lit(i).alias("i"), *_hashes(F.col(f.physical))) for i, f in enumerate(rel.fields)])
+    pairs = rel.df.select(F.explode(values).alias("p")).where("p.a is not null").select("p.*").distinct()
+    counts = pairs.groupBy("i").agg(F.count("*").alias("n"))
+    names = rel.df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(rel.fields)], "place int, name string")
+    return names.join(counts, F.col("place") == F.col("i"), "left").select("place", "name", F.coalesce("n", F.lit(0)).alias("n_distinct"))
+
+
+def _hashes(c: Column) -> list[Column]:
+    return [F.when(c.isNotNull(), F.xxhash64(c, F.lit(seed))).alias(name) for seed, name in ((1, "a"), (2, "b"))]
+
+
 def _expression(rel: Relation, agg: Agg) -> Column:
     if agg.column == "*":
         if agg.function != "COUNT":

@@ -115,11 +115,12 @@ def _assignments(g: GraphModel, start: int, end: int, conditions: list[Condition
     Start and end lie on the path, so a node attribute can only be uniform
     with the value both have, which leaves no choice of value for nodes.
     """
-    ids = [start, end]
     n = g.nodes
-    rows = {}
-    for r in n.df.where(F.col(n.fields[0].physical).isin(ids)).select(*[F.col(f.physical) for f in n.fields]).limit(2 * BROADCAST_ROWS).collect() if conditions else []:
-        rows.setdefault(int(r[0]), tuple(r)[1:])
+    at = F.col(n.fields[0].physical).cast("long")
+    row = F.struct(*[F.col(f.physical) for f in n.fields[1:]], F.lit(0).alias("_"))
+    # of repeated rows of a node the smallest holds
+    ends = n.df.agg(*[F.min(F.when(at == v, row)) for v in (start, end)]).first() if conditions else (None, None)
+    rows = {v: tuple(r)[:-1] for v, r in zip((start, end), ends) if r is not None}
     options = []
     for c in conditions:
         names = g.node_attributes if c.on_nodes else g.edge_attributes

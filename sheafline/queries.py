@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import aggregate, graph, integrity, ordering, relational, schedule, vector
@@ -246,7 +246,7 @@ def checksum(spark, d):
     return _checksum(spark, d, "nation", "n_nationkey", "n_regionkey")
 
 
-@_query()
+@_query(_FOLD.format(t="orders", k="o_orderkey", v="o_custkey"))
 def checksum_orders(spark, d):
     return _checksum(spark, d, "orders", "o_orderkey", "o_custkey")
 
@@ -412,9 +412,8 @@ def schedule_replay(spark, d):
     begins = ends.select("schedule", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("BEGIN "), "tx").alias("line"))
     commits = ends.select("schedule", F.col("last").alias("pos"), F.concat(F.lit("COMMIT "), "tx").alias("line"))
     lines = begins.unionByName(work).unionByName(commits)
-    order = F.struct("pos", "line")
-    place = lines.select("schedule", order.alias("o"), "line").groupBy("schedule").agg(F.array_sort(F.collect_list("o")).alias("os"))
-    listed = place.select("schedule", F.posexplode("os").alias("pos", "o")).select("schedule", "pos", F.col("o.line").alias("line"))
+    place = F.row_number().over(Window.partitionBy("schedule").orderBy("pos", "line"))
+    listed = lines.select("schedule", place.alias("pos"), "line")
     return schedule.replay_schedules(listed, "schedule", "pos", "line", {"pages": 8})
 
 

@@ -41,7 +41,8 @@ class Relation:
 
     @classmethod
     def of(cls, df: DataFrame, name: str = "", order: Sequence[str] | None = None) -> Relation:
-        """Wrap a DataFrame. Without ``order`` the rows keep their file order."""
+        """Wrap a DataFrame. Without ``order`` the rows of one file keep its order;
+        of several files, or after a shuffle, the order is Spark's and ``order`` should say which holds."""
         tag = f"c{next(_fresh)}"
         fields = tuple(Field(c, f"{tag}_{i}", name) for i, c in enumerate(df.columns))
         out = [F.col(f"`{f.name}`").alias(f.physical) for f in fields]
@@ -109,16 +110,10 @@ class Relation:
         at = F.monotonically_increasing_id()
         part, place = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
         tagged = rows.select("*", part.alias("__p"), place.alias("__i"))
-        counts = {r[0]: r[1] for r in tagged.groupBy("__p").count().collect()}
-        start, offsets = 0, []
-        for p in sorted(counts):
-            offsets.append((p, start))
-            start += counts[p]
-        if offsets:
-            base = F.element_at(F.create_map(*[F.lit(x).cast("long") for po in offsets for x in po]), F.col("__p"))
-            whole = tagged.withColumn(name, base + F.col("__i"))
-        else:
-            whole = tagged.withColumn(name, F.lit(0).cast("long"))
+        counts = sorted((r[0], r[1]) for r in tagged.groupBy("__p").count().collect())
+        starts = itertools.accumulate((n for _, n in counts), initial=0)
+        offsets = rows.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)], "__q long, __start long")
+        whole = tagged.join(F.broadcast(offsets), F.col("__p") == F.col("__q")).withColumn(name, F.col("__start") + F.col("__i")).drop("__q", "__start")
         drop = {c for c, _ in self.order} - {f.physical for f in self.fields}
         return Relation(whole.drop("__p", "__i", *drop), self.fields, ((name, True),))
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sheafline.lang import commands as C
@@ -199,3 +201,39 @@ def test_bad_files(s, tmp_path):
     (tmp_path / "BAD.csv").write_text("a,b\n1,x\n")
     with pytest.raises(Exception):
         s.execute("LOAD BAD")
+
+
+def large(tmp_path, name, nodes, edges):
+    (tmp_path / f"{name} Nodes D.csv").write_text("NodeID,A1,A2\n" + "".join(f"{i},0,0\n" for i in range(nodes)))
+    (tmp_path / f"{name} Edges D.csv").write_text("S,D,W,B1,B2\n" + "".join(f"{a},{b},{w},{k},0\n" for a, b, w, k in edges))
+
+
+def test_large_graphs(s, tmp_path):
+    large(tmp_path, "LINE10", 10_000, [(i, i + 1, 1, 0) for i in range(9_999)])
+    large(tmp_path, "LINE20", 20_000, [(i, i + 1, 1, 0) for i in range(19_999)])
+    large(tmp_path, "STAR", 10_000, [(0, i, 1, 0) for i in range(1, 10_000)])
+    large(tmp_path, "GAP", 10_000, [(i, i + 1, 1, 0) for i in range(5_000)])
+    rng = random.Random(42)
+    few = [(rng.randint(0, 999), rng.randint(0, 999), 1, rng.randint(0, 1)) for _ in range(5_000)]
+    large(tmp_path, "RANDOM", 1_000, few)
+    for name in ("LINE10", "LINE20", "STAR", "GAP", "RANDOM"):
+        assert s.execute(f"LOAD GRAPH {name} D").startswith("Loaded Graph.Node Count:")
+    assert s.execute("P1 <- PATH LINE10 0 1 WHERE B1(E)==0") == "TRUE 1"
+    assert s.execute("P2 <- PATH LINE10 0 9999 WHERE B1(E)==0") == "TRUE 9999"
+    assert s.execute("P3 <- PATH LINE20 0 100 WHERE A2(N)==0") == "TRUE 100"
+    assert s.execute("P4 <- PATH LINE20 0 19999 WHERE A2(N) AND ANY(E)") == "TRUE 19999"
+    assert s.execute("DEGREE STAR 0") == "9999" and s.execute("DEGREE STAR 5") == "1"
+    assert s.execute("P5 <- PATH GAP 0 9999 WHERE A2(N)==0") == "FALSE"
+    assert s.execute("DEGREE RANDOM 0") == str(sum((a == 0) + (b == 0) for a, b, *_ in few))
+
+
+def test_files_of_another_shape_are_told(s, tmp_path):
+    (tmp_path / "BAD.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "script.ra").write_text("LOAD BAD\nLOAD DUP\nLOAD B\nPRINT B\n")
+    said = s.execute("SOURCE script").split("\n")
+    assert said[0].startswith("ERROR") and said[1].startswith("FORMAT ERROR") and said[-1] == "Row Count: 4"
+
+
+def test_distinct_values_of_every_column(s):
+    s.execute("LOAD EMPLOYEE")
+    assert "Distinct Values: Ssn=8, Bdate=6, Sex=2, Salary=6, Super_ssn=4, Dno=3" in s.execute("DESCRIBE EMPLOYEE")
