@@ -164,7 +164,8 @@ def _states(b: pa.RecordBatch, pid: int) -> pa.Table:
     out = {"key": keys.take(pa.array(starts)), "pid": pa.array(np.full(len(starts), pid, np.int32))}
     for c in b.schema.names[2:]:
         out[c] = pa.array(np.add.reduceat(b.column(c).to_numpy(zero_copy_only=False), starts))
-    for c, v, ok in (("first_order", x[starts], seen > 0), ("last_order", last, seen > 0), ("max_gap", gap, seen > 1)):
+    many = np.add.reduceat(np.where(real, b.column("n").to_numpy(), 0), starts) > 1  # rows that tie have a gap of 0
+    for c, v, ok in (("first_order", x[starts], seen > 0), ("last_order", last, seen > 0), ("max_gap", gap, many)):
         out[c] = pa.array(v, mask=~ok)
     return pa.table(out)
 

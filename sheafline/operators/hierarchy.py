@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, lookup_join
 
-#: The rest of the nodes that one task may finish.
-LOCAL_LIMIT = 50_000
+#: The rest of the nodes that one task may finish; it holds a few numbers for
+#: each, and the elements of paths it holds at a time.
+LOCAL_LIMIT, PATH_ELEMENTS = 10_000, 1_000_000
 #: Peeling goes on while a round removes at least this share of the rest.
 MIN_SHRINK = 0.05
 
-_SOLVED = ["node", "parent", "root", "depth", "cyclic", "path", "subtree_size"]
 
 
-def hierarchy(df: DataFrame, node: str, parent: str, local_limit: int = LOCAL_LIMIT) -> DataFrame:
+def hierarchy(df: DataFrame, node: str, parent: str, local_limit: int = LOCAL_LIMIT, paths: bool = True) -> DataFrame:
     """One row per node: (node, parent, root, depth, cyclic, path, subtree_size).
 
+    Without ``paths`` the last two are left out, and with them all that grows
+    with the depth of the trees.
     ``path`` runs from the root to the node itself. A parent that is null or
     not itself a node ends the chain: the node is a root of depth 0 with
     ``parent`` null. For a chain that never ends ``cyclic`` is 1, ``root`` the
@@ -46,7 +48,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, local_limit: int = LOCAL_LI
     )
     links = cut(links)
     known = links.select(F.col("node").alias("__p"))
-    links = lookup_join(links, known, "parent", "__p").select("node", F.col("__p").alias("parent"), F.lit(1).cast("long").alias("subtree_size"))
+    links = lookup_join(links, known, "parent", "__p").select("node", F.col("__p").alias("parent"), *([F.lit(1).cast("long").alias("subtree_size")] if paths else []))
     rest = cut(links)
     peeled: list[DataFrame] = []
     n = rest.count()
@@ -58,17 +60,16 @@ def hierarchy(df: DataFrame, node: str, parent: str, local_limit: int = LOCAL_LI
         gone = leaves.count()
         if not gone:
             break
-        sent = leaves.where("parent is not null").groupBy(F.col("parent").alias("__p")).agg(F.sum("subtree_size").alias("__s"))
-        rest = cut(
-            marked.where("not __leaf")
-            .join(sent, F.col("node") == F.col("__p"), "left")
-            .select("node", "parent", (F.col("subtree_size") + F.coalesce("__s", F.lit(0))).alias("subtree_size"))
-        )
+        rest = marked.where("not __leaf").drop("__leaf")
+        if paths:
+            sent = leaves.where("parent is not null").groupBy(F.col("parent").alias("__p")).agg(F.sum("subtree_size").alias("__s"))
+            size = (F.col("subtree_size") + F.coalesce("__s", F.lit(0))).alias("subtree_size")
+            rest = cut(rest.join(sent, F.col("node") == F.col("__p"), "left").select("node", "parent", size))
         peeled.append(leaves)
         shrinking = gone >= MIN_SHRINK * n
         n -= gone
     kind = dict(rest.dtypes)["node"]
-    solved = _finish_local(rest, kind) if n <= local_limit else _finish_doubling(rest)
+    solved = _finish_local(rest, kind, paths) if n <= local_limit else _finish_doubling(rest, paths)
     solved = cut(solved) if peeled else solved
     for leaves in reversed(peeled):
         up = solved.select(
@@ -76,7 +77,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, local_limit: int = LOCAL_LI
             F.col("root").alias("__root"),
             F.col("depth").alias("__depth"),
             F.col("cyclic").alias("__cyclic"),
-            F.col("path").alias("__path"),
+            *([F.col("path").alias("__path")] if paths else []),
         )
         isolated = F.col("parent").isNull()
         down = lookup_join(leaves, up, "parent", "__p").select(
@@ -85,8 +86,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, local_limit: int = LOCAL_LI
             F.when(isolated, F.col("node")).otherwise(F.col("__root")).alias("root"),
             F.when(isolated, F.lit(0)).otherwise(F.col("__depth") + 1).cast("int").alias("depth"),
             F.when(isolated, F.lit(0)).otherwise(F.col("__cyclic")).cast("int").alias("cyclic"),
-            F.when(isolated, F.array("node")).otherwise(F.concat("__path", F.array("node"))).alias("path"),
-            "subtree_size",
+            *([F.when(isolated, F.array("node")).otherwise(F.concat("__path", F.array("node"))).alias("path"), "subtree_size"] if paths else []),
         )
         solved = cut(solved.unionByName(down))
     return solved
@@ -104,9 +104,13 @@ def descendants(tree: DataFrame) -> DataFrame:
     )
 
 
-def _finish_local(rest: DataFrame, kind: str) -> DataFrame:
-    """Peel and solve a rest of at most ``local_limit`` nodes in one task."""
-    schema = f"node {kind}, parent {kind}, root {kind}, depth int, cyclic int, path array<{kind}>, subtree_size long"
+def _finish_local(rest: DataFrame, kind: str, paths: bool) -> DataFrame:
+    """Peel and solve a rest of at most ``local_limit`` nodes in one task.
+
+    Only depth, root and size are kept for each node; paths are walked when
+    rows are given out, so many at a time as PATH_ELEMENTS allows.
+    """
+    schema = f"node {kind}, parent {kind}, root {kind}, depth int, cyclic int" + (f", path array<{kind}>, subtree_size long" if paths else "")
 
     def solve(batches):
         frames = list(batches)
@@ -114,7 +118,7 @@ def _finish_local(rest: DataFrame, kind: str) -> DataFrame:
             return
         got = pd.concat(frames, ignore_index=True)
         parent = {a: (None if pd.isna(b) else b) for a, b in zip(got["node"], got["parent"])}
-        size = dict(zip(got["node"], map(int, got["subtree_size"])))
+        size = dict(zip(got["node"], map(int, got["subtree_size"]))) if paths else {}
         waiting = dict.fromkeys(parent, 0)
         for b in parent.values():
             if b is not None:
@@ -126,7 +130,8 @@ def _finish_local(rest: DataFrame, kind: str) -> DataFrame:
                 order.append(a)
                 b = parent[a]
                 if b is not None:
-                    size[b] += size[a]
+                    if paths:
+                        size[b] += size[a]
                     waiting[b] -= 1
                     if not waiting[b]:
                         after.append(b)
@@ -140,21 +145,35 @@ def _finish_local(rest: DataFrame, kind: str) -> DataFrame:
             while not ring or x != a:
                 ring.append(x)
                 x = parent[x]
+            low = min(ring)
             for x in ring:
-                done[x] = (min(ring), 0, 1, [x])
+                done[x] = (low, 0, 1)
         for a in reversed(order):
             b = parent[a]
-            if b is None:
-                done[a] = (a, 0, 0, [a])
-            else:
-                root, depth, cyclic, path = done[b]
-                done[a] = (root, depth + 1, cyclic, [*path, a])
-        rows = [(a, parent[a], *done[a], size[a]) for a in parent]
-        for i in range(0, len(rows), 5_000):
-            out = pd.DataFrame(rows[i : i + 5_000], columns=_SOLVED)
+            done[a] = (a, 0, 0) if b is None else (done[b][0], done[b][1] + 1, done[b][2])
+        rows, held = [], 0
+        columns = ["node", "parent", "root", "depth", "cyclic", *(["path", "subtree_size"] if paths else [])]
+
+        def frame():
+            out = pd.DataFrame(rows, columns=columns)
             for c in ("node", "parent", "root"):
                 out[c] = out[c].astype(got["node"].dtype if c != "parent" else object)
-            yield out
+            return out
+
+        for a in parent:
+            row = (a, parent[a], *done[a])
+            if paths:
+                path = [a]
+                for _ in range(done[a][1]):
+                    path.append(parent[path[-1]])
+                row += (path[::-1], size[a])
+                held += len(path)
+            rows.append(row)
+            if held >= PATH_ELEMENTS or len(rows) >= 5_000:
+                yield frame()
+                rows, held = [], 0
+        if rows:
+            yield frame()
 
     return rest.coalesce(1).mapInPandas(_plain_ints(solve), schema)
 
@@ -174,7 +193,7 @@ def _plain_ints(solve):
     return run
 
 
-def _finish_doubling(rest: DataFrame) -> DataFrame:
+def _finish_doubling(rest: DataFrame, paths: bool) -> DataFrame:
     """Solve any rest in about log2(longest chain or cycle) rounds of self-joins each."""
     jump = rest.select("node", F.col("parent").alias("nxt"))
     # the nodes reached after 2^k steps become fewer until only cycles are left
@@ -197,6 +216,10 @@ def _finish_doubling(rest: DataFrame) -> DataFrame:
         changed = not both.where("low <> __old").isEmpty()
         ring = both.drop("__old")
     top = marked.withColumn("up", F.when(~F.col("__on"), F.col("parent")))
+    if not paths:
+        return _tops(top).join(ring.select(F.col("node").alias("__r"), F.col("low").alias("__low")), F.col("top") == F.col("__r"), "left").select(
+            "node", "parent", F.coalesce("__low", "top").alias("root"), F.col("steps").alias("depth"), F.col("__low").isNotNull().cast("int").alias("cyclic")
+        )
     walk = cut(
         top.select(
             "node",
@@ -234,3 +257,16 @@ def _finish_doubling(rest: DataFrame) -> DataFrame:
             "subtree_size",
         )
     )
+
+
+def _tops(links: DataFrame) -> DataFrame:
+    """(node, parent, top, steps) of rows with the next node ``up``: where the chain ends, after how many steps."""
+    walk = cut(links.select("node", "parent", F.col("up").alias("nxt"), F.coalesce("up", "node").alias("top"), F.col("up").isNotNull().cast("int").alias("steps")))
+    while not walk.where("nxt is not null").isEmpty():
+        far = walk.select(F.col("node").alias("__a"), F.col("nxt").alias("__n"), F.col("top").alias("__t"), F.col("steps").alias("__s"))
+        walk = cut(
+            walk.join(far, F.col("nxt") == F.col("__a"), "left").select(
+                "node", "parent", F.col("__n").alias("nxt"), F.coalesce("__t", "top").alias("top"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps")
+            )
+        )
+    return walk.select("node", "parent", "top", "steps")

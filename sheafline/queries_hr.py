@@ -15,13 +15,13 @@ from .sources.tables import table
 HOT_SHARE = 0.02
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
+def _tree(spark: SparkSession, d: str, **how) -> DataFrame:
     staff = table(spark, d, "employee").select("ssn", "super_ssn", "loaded_at")
-    return hierarchy(in_force(staff, "ssn", "loaded_at"), "ssn", "super_ssn")
+    return hierarchy(in_force(staff, "ssn", "loaded_at"), "ssn", "super_ssn", **how)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).select(F.col("node").alias("ssn"), F.col("root").alias("root_ssn"), "depth", "cyclic")
+    return _tree(spark, d, paths=False).select(F.col("node").alias("ssn"), F.col("root").alias("root_ssn"), "depth", "cyclic")
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:

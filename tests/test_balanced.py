@@ -51,6 +51,8 @@ def test_a_heavy_key_spreads_over_partitions(spark, monkeypatch, order):
 
 def test_whole_numbers_are_exact(spark):
     big = 2**62
+    ties = spark.createDataFrame([(1, 1, 5), (1, 1, 5), (2, 1, 5), (3, 1, None), (3, 1, None)], "k int, v int, t int")
+    assert {r["key"]: r["max_gap"] for r in per_key(ties, "k", "v", "t", 2).collect()} == {1: 0, 2: None, 3: None}
     rows = [(1, big + 1, -(2**63)), (1, big + 2, 2**63 - 1), (1, big, None), (2, 2**53 + 1, 2**53), (2, -1, 2**53 + 1)]
     got = {r["key"]: r for r in per_key(spark.createDataFrame(rows, "k int, v long, t long"), "k", "v", "t", 2).collect()}
     assert (got[1]["total"], got[1]["max_gap"]) == (3 * big + 3, 2**63 - 1)

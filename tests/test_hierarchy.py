@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from sheafline.operators import hierarchy as hierarchy_module
 from sheafline.operators.components import connected_components
 from sheafline.operators.hierarchy import descendants, hierarchy
 
@@ -32,6 +33,8 @@ def check(spark, links, limit):
     rows = tree.collect()
     want = solve(links)
     assert {r["node"]: (r["root"], r["depth"], r["cyclic"]) for r in rows} == want
+    bare = hierarchy(df, "emp", "boss", local_limit=limit, paths=False)
+    assert bare.columns == ["node", "parent", "root", "depth", "cyclic"] and got(bare) == want
     paths = {r["node"]: list(r["path"]) for r in rows}
     for r in rows:
         assert len(r["path"]) == r["depth"] + 1 and r["path"][-1] == r["node"]
@@ -66,6 +69,11 @@ def test_random(spark):
     check(spark, links, 20)
 
 
+def test_few_path_elements_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy_module, "PATH_ELEMENTS", 7)
+    check(spark, SHAPES["chain"], 100)
+
+
 def test_dirt(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 1), (2, 1), (2, None), (None, 1), (3, 7)], "n long, p long")
     assert got(hierarchy(df, "n", "p")) == {1: (1, 0, 0), 2: (1, 1, 0), 3: (3, 0, 0)}
