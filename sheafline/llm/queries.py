@@ -62,8 +62,8 @@ def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where((F.col("score") >= F.col("item_words")) | (F.col("run") >= WINDOW))
 
 
-def _mix(spark: SparkSession, d: str) -> Mix:
-    return mix_sources(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+def _mix(spark: SparkSession, d: str, **how) -> Mix:
+    return mix_sources(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"), **how)
 
 
 def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +74,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares
 
 
+def p8_shares_short(spark: SparkSession, d: str) -> DataFrame:
+    """A larger corpus, of which the sources at their caps may miss 5 % together."""
+    return _mix(spark, d, shortfall=0.05).shares
+
+
 def _levels(spark: SparkSession, d: str) -> Levels:
     return reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_labels"), "doc_id", "rater", "band", min_words=40)
 
@@ -86,7 +91,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).banded().select("doc_id", "n_words", F.round("level", 3).alias("level"), "band")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p5_found, p7_found, p7_alignments, p8_corpus, p8_shares, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p5_found, p7_found, p7_alignments, p8_corpus, p8_shares, p8_shares_short, p9_found, p9_levels)}
 
 _USABLE = """with v as (select distinct record_id as id, c0::double as a, c1::double as b, c2::double as c, c3::double as d from vidva_vectors
  where c0 is not null and c1 is not null and c2 is not null and c3 is not null and not isnan(c0) and not isnan(c1) and not isnan(c2) and not isnan(c3)

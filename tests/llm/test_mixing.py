@@ -1,7 +1,9 @@
 import os
+import random
 
 import pytest
 
+from sheafline.llm import mixing
 from sheafline.llm.mixing import PIECE, RANKS, _pieces, mix_sources
 
 pytestmark = pytest.mark.skipif(not os.path.exists(RANKS), reason="no tokenizer here")
@@ -54,3 +56,49 @@ def test_repeated_and_very_long_texts(spark):
     m = run(spark, [(1, long, "a"), (1, long, "a"), (2, "^" * 500_000, "a")], [("a", 1.0, 1)])
     assert m.corpus.count() == 3 and m.shares.first()["n_tokens"] > 600_000
     assert "".join(_pieces(long)) == long and max(map(len, _pieces(long))) <= 2 * PIECE
+
+
+def test_every_source_misses_its_share_by_a_document_at_most(spark):
+    rng = random.Random(3)
+    docs = [(i, "word " * rng.choice([1, 3, 10, 200]), rng.choice("aaaaabbbc")) for i in range(3000)]
+    m = run(spark, docs, [("a", 0.2, 2), ("b", 0.5, 3), ("c", 0.3, 4)])
+    s = {r["src_name"]: r for r in m.shares.collect()}
+    total = min(s[x]["n_tokens"] * c / w for x, w, c in (("a", 0.2, 2), ("b", 0.5, 3), ("c", 0.3, 4)))
+    for x, w in (("a", 0.2), ("b", 0.5), ("c", 0.3)):
+        assert abs(s[x]["tokens_emitted"] - w * total) <= 201
+        assert abs(s[x]["deviation"]) <= 2 * 201 / total and s[x]["deviation"] == pytest.approx(s[x]["real_share"] - w)
+    drawn = m.sized.where("src = 'a'").groupBy("copies").count().collect()
+    assert len(drawn) == 2 and sum(r["count"] for r in drawn) == s["a"]["n_docs"]
+
+
+def test_a_tiny_source_may_fall_short(spark):
+    docs = [(i, "one two three", "big") for i in range(1000)] + [(5000, "one two three", "tiny")]
+    few = {r["src_name"]: r for r in run(spark, docs, [("big", 0.97, 1), ("tiny", 0.03, 2)]).shares.collect()}
+    assert few["big"]["n_emitted"] == pytest.approx(0.97 * 2 / 0.03, abs=1) and abs(few["tiny"]["deviation"]) < 0.01
+    many = {r["src_name"]: r for r in run(spark, docs, [("big", 0.97, 1), ("tiny", 0.03, 2)], shortfall=0.02).shares.collect()}
+    assert many["big"]["n_emitted"] == pytest.approx(0.98 * 2 / 0.01, abs=3) and many["tiny"]["deviation"] == pytest.approx(-0.02, abs=0.002)
+    most = {r["src_name"]: r for r in run(spark, docs, [("big", 0.97, 1), ("tiny", 0.03, 2)], shortfall=0.05).shares.collect()}
+    assert most["big"]["n_emitted"] == 1000 and most["tiny"]["n_emitted"] == 2
+
+
+@pytest.mark.parametrize("text", ["a1" * 20, "don't stop=='s now" * 3, "abc" * 30, "===" * 30 + "'s x", "日本語" * 20 + "。", "x " * 40, " \n" * 50 + "y", "1234567" * 9])
+def test_pieces_never_change_the_tokens(monkeypatch, text):
+    import base64
+
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("ranks", pat_str=mixing.PATTERN, mergeable_ranks=merges, special_tokens={})
+    whole = len(encoding.encode_ordinary(text))
+    for size in (1, 2, 5, 13):
+        monkeypatch.setattr(mixing, "PIECE", size)
+        pieces = list(_pieces(text))
+        assert "".join(pieces) == text
+        assert sum(len(encoding.encode_ordinary(p)) for p in pieces) == whole == sum(mixing._count_unbroken(encoding, p) for p in pieces)
+
+
+def test_long_runs_are_counted_whole(spark):
+    docs = [(1, "a" * 1_000_000, "a"), (2, "=" * 900_000 + "'s", "a"), (3, "4" * 700_000, "a")]
+    m = run(spark, docs, [("a", 1.0, 1)])
+    assert {r["doc_id"]: r["n_tokens"] for r in m.sized.collect()}[1] == 250_000
