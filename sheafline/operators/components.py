@@ -50,7 +50,12 @@ def _union_find(batches):
     v = np.concatenate([f["v"].to_numpy() for f in frames])
     nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
     left, right = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(nodes))
+    yield pd.DataFrame({"node": nodes, "component": nodes[united(len(nodes), left, right)]})
+
+
+def united(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of ``n`` numbers the smallest one of its component of the given pairs."""
+    label = np.arange(n)
     while True:  # hook the larger label on the smaller one, then halve the paths
         low = np.minimum(label[left], label[right])
         before = label.copy()
@@ -64,5 +69,4 @@ def _union_find(batches):
                 break
             label = far
         if np.array_equal(before, label):
-            break
-    yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+            return label
