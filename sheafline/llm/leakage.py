@@ -1,11 +1,12 @@
 """Evaluation texts leaking into a corpus: rare n-gram seeds, then alignment.
 
-Items are taken in blocks of bounded size, so what tasks share is bounded. One
-pass over the corpus finds where any n-gram of a block's items occurs and keeps
-those passages as word numbers. From the counts of all those n-grams over the
-whole corpus every window of an item picks its rarest n-gram as seed; passages
-holding a seed are joined to the seed's items and scored by Smith-Waterman
-alignment over words, which also gives the longest run of equal words.
+One pass over the corpus finds where any n-gram of the items occurs and keeps
+those passages as word numbers, long ones in slices that overlap by more than an
+alignment can span. From the counts of all those n-grams over the whole corpus
+every window of an item picks its rarest n-gram as seed; passages are joined to
+items by seeds and scored by Smith-Waterman alignment over words, which also
+gives the longest run of equal words. What tasks share of the items is bounded
+by taking them in blocks, of which only very many items need more than one.
 
 Edited copies need not share any n-gram, so they are found by a bound instead: a
 score of at least the item's words takes so many of the item's words within so
@@ -14,20 +15,18 @@ few words of the document that counting them leaves few pairs to align.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, lookup_join
 
 #: Words of an n-gram; of an item's window; items and characters of a block.
 GRAM, WINDOW = 5, 12
-BLOCK_ITEMS, BLOCK_CHARS = 2_000, 4_000_000
-#: Words of documents aligned at once for edited copies, unless one document has more.
-BATCH_WORDS = 100_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32_000_000
+#: Words of documents aligned at once, unless one piece has more; words of a passage's slice.
+BATCH_WORDS, SLICE = 100_000, 4_096
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Hits farther apart than this many words belong to different passages.
 APART = 64
@@ -101,25 +100,63 @@ def _grams(ids: np.ndarray) -> np.ndarray:
 
 
 def _block_matches(corpus: DataFrame, block: list, edited: bool) -> DataFrame:
-    sc = corpus.sparkSession.sparkContext
+    spark = corpus.sparkSession
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in block for w in words}))}
     coded = [(i, np.array([vocabulary[w] for w in words])) for i, words in block]
     known = np.unique(np.concatenate([_grams(a) for _, a in coded]))
     around = max(len(a) for _, a in coded)
-    shared = sc.broadcast((vocabulary, known, around, coded if edited else None))
+    shared = spark.sparkContext.broadcast((vocabulary, known, around, coded, edited))  # bounded by the block
     passages = cut(corpus.mapInPandas(_scan(shared), f"{_OUT}, words array<int>, grams array<long>"))
-    counts = passages.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    common = dict(map(tuple, counts.toArrow().to_pandas().itertuples(index=False)))  # n-grams of one block at most
-    seeds = defaultdict(set)
-    for pos, (_, a) in enumerate(coded):
-        codes = _grams(a)
-        rarity = np.array([common.get(int(c), 2**62) for c in codes])  # what never occurs is no seed
-        span = WINDOW - GRAM + 1
-        for i in range(max(1, len(codes) - span + 1)):
-            seeds[int(codes[i + int(np.argmin(rarity[i : i + span]))])].add(pos)
-    looked = sc.broadcast(([i for i, _ in coded], [a for _, a in coded], {g: sorted(p) for g, p in seeds.items() if common.get(g)}))
     aligned = passages.where("item_id is not null").select("doc_id", "item_id", "score", "item_words", "run", "at")
-    return passages.where("item_id is null").select("doc_id", "at", "words", "grams").mapInPandas(_align(looked), _OUT).unionByName(aligned)
+    held = passages.where("item_id is null").select("doc_id", "at", "words", "grams")
+    where = held.select("doc_id", "at", F.explode("grams").alias("g"))
+    counts = where.groupBy("g").agg(F.count("*").alias("n"))
+    # the places of the block in order, a few numbers a task; each task forms its items' n-grams
+    places = spark.range(len(coded)).mapInPandas(_windows(shared), "pos int, at int, gram long")
+    counted = places.join(counts, F.col("gram") == F.col("g")).groupBy("pos").agg(F.collect_list(F.struct("at", "gram", "n")).alias("found"))
+    seeds = counted.mapInPandas(_seeds(shared), "gram long, pos int").distinct().groupBy("gram").agg(F.collect_list("pos").alias("items"))
+    hits = lookup_join(where, cut(seeds), "g", "gram", "inner").select("doc_id", "at", F.explode("items").alias("pos"))
+    wanted = hits.groupBy(F.col("doc_id").alias("__d"), F.col("at").alias("__a")).agg(F.collect_set("pos").alias("items"))  # items of one passage
+    looked = held.select("doc_id", "at", "words").join(wanted, (F.col("doc_id") == F.col("__d")) & (F.col("at") == F.col("__a")))
+    return looked.select("doc_id", "at", "words", "items").mapInPandas(_align(shared), _OUT).unionByName(aligned)
+
+
+def _windows(shared):
+    """Each n-gram of the items, by place."""
+
+    def run(batches):
+        coded = shared.value[3]
+        for b in batches:
+            some = [(pos, _grams(coded[pos][1])) for pos in b["id"]]
+            yield pd.DataFrame(
+                {
+                    "pos": np.repeat([p for p, _ in some], [len(c) for _, c in some]).astype(np.int32),
+                    "at": np.concatenate([*[np.arange(len(c)) for _, c in some], np.zeros(0)]).astype(np.int32),
+                    "gram": np.concatenate([*[c for _, c in some], np.zeros(0, np.int64)]).astype(np.int64),
+                }
+            )
+
+    return run
+
+
+def _seeds(shared):
+    """The rarest n-gram of every window of the items, of those that occur."""
+
+    def run(batches):
+        coded = shared.value[3]
+        for b in batches:
+            out = []
+            for pos, found in zip(b["pos"], b["found"]):
+                size = len(coded[pos][1]) - GRAM + 1
+                grams, rarity = np.zeros(size, np.int64), np.full(size, 2**62)  # what never occurs is no seed
+                for f in found:
+                    grams[f["at"]], rarity[f["at"]] = f["gram"], f["n"]
+                span = min(WINDOW - GRAM + 1, size)
+                best = np.arange(size - span + 1) + np.lib.stride_tricks.sliding_window_view(rarity, span).argmin(1)
+                out += [(int(g), pos) for g in np.unique(grams[best[rarity[best] < 2**62]])]
+            yield pd.DataFrame(out, columns=["gram", "pos"])
+
+    return run
 
 
 class _Bound:
@@ -193,16 +230,23 @@ class _Bound:
     def aligned(self, found: list) -> list[tuple]:
         """Rows of _OUT for (doc, item, at, words), in batches of bounded size."""
         found.sort(key=lambda f: (len(f[3]), f[0], f[1]))
-        out, some = [], []
-        for k, f in enumerate(found):
-            some.append(f)
-            if k + 1 == len(found) or len(some) == 128 or len(found[k + 1][3]) * (len(some) + 1) > BATCH_WORDS:
-                score, run = _smith_waterman([f[3] for f in some], [self.items[f[1]] for f in some])
-                out += [(doc, self.names[p], s, len(self.items[p]), r, at) for (doc, p, at, _), s, r in zip(some, score, run) if s >= len(self.items[p])]
-                some = []
+        out = []
+        for some in _batched(found):
+            score, run = _smith_waterman([f[3] for f in some], [self.items[f[1]] for f in some])
+            out += [(doc, self.names[p], s, len(self.items[p]), r, at) for (doc, p, at, _), s, r in zip(some, score, run) if s >= len(self.items[p])]
         return out
 
 
+def _batched(found: list):
+    """Rows that end with their words, shortest first, so many together as BATCH_WORDS allows."""
+    some = []
+    for k, f in enumerate(found):
+        some.append(f)
+        if k + 1 == len(found) or len(some) == 128 or len(found[k + 1][-1]) * (len(some) + 1) > BATCH_WORDS:
+            yield some
+            some = []
+
+
 def _ranks(counts: np.ndarray) -> np.ndarray:
     """0 to count - 1 for each count, one after the other."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -212,8 +256,8 @@ def _scan(shared):
     """Passages of each document around n-grams of the items, and the alignments of edited copies."""
 
     def run(batches):
-        vocabulary, known, around, coded = shared.value
-        bound = _Bound(coded, len(vocabulary)) if coded else None
+        vocabulary, known, around, coded, edited = shared.value
+        bound = _Bound(coded, len(vocabulary)) if edited else None
         get = vocabulary.get
         for b in batches:
             out, near = [], []
@@ -235,7 +279,10 @@ def _scan(shared):
                     continue
                 for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > APART) + 1):
                     lo, hi = max(0, at[part[0]] - around), at[part[-1]] + GRAM + around
-                    out.append((doc, lo, ids[lo:hi].astype(np.int32), np.unique(codes[part])))
+                    for i, j in _slices(lo, min(hi, len(ids)), around):
+                        inside = part[np.searchsorted(at[part], i) : np.searchsorted(at[part], j - GRAM, "right")]
+                        if len(inside):
+                            out.append((doc, i, ids[i:j].astype(np.int32), np.unique(codes[inside])))
             passages = pd.DataFrame(out, columns=["doc_id", "at", "words", "grams"])
             columns = ["doc_id", "item_id", "score", "item_words", "run", "at"]
             for c in columns[1:5]:
@@ -247,21 +294,29 @@ def _scan(shared):
     return run
 
 
-def _align(looked):
+def _slices(lo: int, hi: int, around: int):
+    """Parts of a passage; any alignment of ``around`` words lies within one.
+
+    With a score above 0 it has fewer than two other words to each equal one,
+    so it spans less than three times the item.
+    """
+    step = max(SLICE, 3 * around)
+    while hi - lo > step + 3 * around:
+        yield lo, lo + step + 3 * around
+        lo += step
+    yield lo, hi
+
+
+def _align(shared):
     def run(batches):
-        names, items, seeds = looked.value
+        coded = shared.value[3]
         for b in batches:
-            pairs = []
-            for row, grams in enumerate(b["grams"]):
-                for pos in sorted({p for g in grams for p in seeds.get(int(g), ())}):
-                    pairs.append((len(b["words"].iat[row]), row, pos))
-            pairs.sort()
+            pairs = [(doc, int(p), at, words) for doc, at, words, items in zip(b["doc_id"], b["at"], b["words"], b["items"]) for p in items]
+            pairs.sort(key=lambda f: (len(f[3]), f[0], f[2], f[1]))
             out = []
-            for i in range(0, len(pairs), 128):
-                some = pairs[i : i + 128]
-                score, run_ = _smith_waterman([b["words"].iat[r] for _, r, _ in some], [items[p] for _, _, p in some])
-                for (_, r, p), s, longest in zip(some, score, run_):
-                    out.append((b["doc_id"].iat[r], names[p], s, len(items[p]), longest, b["at"].iat[r]))
+            for some in _batched(pairs):
+                score, longest = _smith_waterman([f[3] for f in some], [coded[f[1]][1] for f in some])
+                out += [(doc, coded[p][0], s, len(coded[p][1]), r, at) for (doc, p, at, _), s, r in zip(some, score, longest)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_words", "run", "at"])
 
     return run

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, lookup_join
 from .vectors import distinct_vectors, usable_records
 
-#: Rows of the sample on which the partitions and classifiers are fitted.
+#: Rows of the sample on which the partitions and classifiers are fitted, in the mean; twice as many at most.
 SAMPLE_ROWS = 8_192
 #: Distinct vectors a part should hold, and the most parts there can be.
 PART_ROWS = 4_096
@@ -31,6 +31,8 @@ MAX_PARTS = 512
 SLICED = 4
 #: Parts a query visits at first.
 PROBES = 3
+#: Components by which the boxes of parts are looked up.
+GRID_AXES = 4
 #: Neighbours per vertex of the sample's graph.
 GRAPH_DEGREE = 8
 
@@ -180,7 +182,10 @@ def nearest_neighbours(
     names = [c for c in records.columns if c != "id"]
     vecs = cut(distinct_vectors(records, k + 1))
     n = vecs.count()
-    sample = vecs.orderBy(F.xxhash64("vid"), "vid").limit(sample_rows).select(*names).toArrow().to_pandas().to_numpy(float)
+    # a sample by hash: each task sends its share only, and about sample_rows come together
+    share = min(1.0, sample_rows / max(1, n))
+    drawn = vecs.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("vid", *names)
+    sample = drawn.limit(2 * sample_rows).toArrow().to_pandas().sort_values("vid")[names].to_numpy(float)
     router = fit_router(sample.reshape(-1, len(names)), -(-n // part_rows) if n <= part_rows * MAX_PARTS else MAX_PARTS)
     shared = vecs.sparkSession.sparkContext.broadcast((router.centre, router.scale, router.weights, router.children, router.parts))
     placed = cut(vecs.mapInPandas(_router_pass(shared, names, probes), _schema(names) + ", n long, ids array<long>, home int, visits array<int>"))
@@ -263,7 +268,9 @@ def _search(rows: DataFrame, queries: DataFrame, names: list[str], k: int) -> Da
             axis = int(np.argmax(np.percentile(x, 90, axis=0) - np.percentile(x, 10, axis=0)))
             index, x = index.iloc[o := np.argsort(x[:, axis], kind="stable")], x[o]
             asked, q = asked.iloc[p := np.argsort(q[:, axis], kind="stable")], q[p]
-            vids, ids = index["vid"].to_numpy(), index["ids"].to_numpy()
+            vids, ids = index["vid"].to_numpy(), [i[:k] for i in index["ids"]]
+            held = np.array([len(i) for i in ids])
+            flat, first = np.concatenate(ids), np.cumsum(held) - held
             asks, bound = asked["vid"].to_numpy(), asked["bound"].to_numpy(float)
             line, step = x[:, axis], 128
             for i in range(0, len(q), step):
@@ -282,14 +289,14 @@ def _search(rows: DataFrame, queries: DataFrame, names: list[str], k: int) -> Da
                 m = min(k, hi - lo)
                 cutoff = np.partition(dist, m - 1, axis=1)[:, m - 1]
                 a, b = np.nonzero((dist <= cutoff[:, None]) & np.isfinite(dist))  # ties at the border stay
-                for qi, ri in zip(a, b):
-                    for one in ids[lo + ri][:k]:
-                        out["vid"].append(asks[i + qi])
-                        out["d"].append(dist[qi, ri])
-                        out["id"].append(one)
-        frame = pd.DataFrame({"vid": np.array(out["vid"], np.int64), "d": np.array(out["d"], float), "id": np.array(out["id"], np.int64)})
+                many = held[lo + b]
+                out["vid"].append(np.repeat(asks[i + a], many))
+                out["d"].append(np.repeat(dist[a, b], many))
+                out["id"].append(flat[np.repeat(first[lo + b], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
+        none = [np.zeros(0, np.int64)]
+        frame = pd.DataFrame({c: np.concatenate([*v, *none]).astype(float if c == "d" else np.int64) for c, v in out.items()})
         if len(frame):
-            frame = frame.sort_values(["vid", "d", "id"]).groupby("vid", sort=False).head(k)
+            frame = frame.iloc[np.lexsort((frame["id"], frame["d"], frame["vid"]))].groupby("vid", sort=False).head(k)
         return frame
 
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
@@ -308,8 +315,9 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def _unvisited(placed: DataFrame, asking: DataFrame, got: DataFrame, names: list[str], k: int, reach: float) -> DataFrame:
     """The (query, part) pairs that could hold a closer row but were not visited.
 
-    Every part is covered by boxes, one per coarse grid cell; a query looks up
-    the cells its reach touches. Without a finite reach for some query all its
+    Every part is covered by boxes, one per coarse grid cell of the first
+    GRID_AXES components; a query looks up the cells its reach touches, which
+    are two to the power of these at most. Without a finite reach for some query all its
     unvisited parts' boxes count, found through one box per part.
     """
     side = max(16 * reach if np.isfinite(reach) else 0.0, 1e-6)
@@ -322,17 +330,18 @@ def _unvisited(placed: DataFrame, asking: DataFrame, got: DataFrame, names: list
     ask = ask.withColumn("bound", F.when(short <= 0, F.lit(0.0)).otherwise(F.coalesce(kth, F.lit(reach)))).where("n <= %d" % k)
     ask = ask.select("vid", *names, "visits", "bound")
     if np.isfinite(reach):
-        where = F.struct(*[F.rint(F.col(c) / side).alias(c) for c in names])
+        grid = names[:GRID_AXES]
+        where = F.struct(*[F.rint(F.col(c) / side).alias(c) for c in grid])
         boxes = placed.withColumn("__cell", where)
         axes = [
             F.when(F.rint((F.col(c) - F.col("bound")) / side) == F.rint((F.col(c) + F.col("bound")) / side), F.array(F.rint(F.col(c) / side))).otherwise(
                 F.array(F.rint((F.col(c) - F.col("bound")) / side), F.rint((F.col(c) + F.col("bound")) / side))
             )
-            for c in names
+            for c in grid
         ]
         for i, axis in enumerate(axes):
             ask = ask.withColumn(f"__a{i}", F.explode(axis))
-        ask = ask.withColumn("__at", F.struct(*[F.col(f"__a{i}").alias(c) for i, c in enumerate(names)])).drop(*[f"__a{i}" for i in range(len(names))])
+        ask = ask.withColumn("__at", F.struct(*[F.col(f"__a{i}").alias(c) for i, c in enumerate(grid)])).drop(*[f"__a{i}" for i in range(len(grid))])
     else:
         boxes, ask = placed.withColumn("__cell", F.struct(F.lit(0.0).alias("all"))), ask.withColumn("__at", F.struct(F.lit(0.0).alias("all")))
     per_part = boxes.groupBy("__cell", "home").agg(*[F.min(c).alias(f"lo_{c}") for c in names], *[F.max(c).alias(f"hi_{c}") for c in names])

@@ -112,3 +112,43 @@ def test_dirt(spark):
     items = [(7, "P. Q. R. S. T. U. V. W. X. Y. Z. A. B."), (8, None), (None, "p q r s t u v w x y"), (9, ""), (10, "p q")]
     assert [(r[0], r[1], r["run"]) for r in run(spark, docs, items).collect()] == [(3, 7, 13)]
     assert run(spark, [], items).count() == 0 == run(spark, docs, []).count()
+
+
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2, 0.25, 0.3])
+def test_recall_of_edited_copies(spark, share):
+    """All pairs whose true alignment reaches the bound, whatever share of the words is replaced."""
+    rng = random.Random(int(share * 100))
+    items = [(i, " ".join(rng.choices([f"w{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(8)], k=40))) for i in range(10)]
+    docs = []
+    for d in range(200):
+        words = [f"other{chr(97 + rng.randrange(26))}" if rng.random() < share else w for w in rng.choice(items)[1].split()]
+        docs.append((d, " ".join([*rng.choices(WORDS, k=30), *words, *rng.choices(WORDS, k=30)])))
+    got = {(r["doc_id"], r["item_id"]) for r in run(spark, docs, items).collect() if r["score"] >= r["item_words"]}
+    names = {w: k for k, w in enumerate(sorted({w for _, t in docs + items for w in t.split()}))}
+    number = lambda t: np.array([names[w] for w in t.split()])
+    true = set()
+    for i, p in items:
+        score, _ = leakage._smith_waterman([number(t) for _, t in docs], [number(p)] * len(docs))
+        true |= {(d, i) for (d, _), s in zip(docs, score) if s >= 40}
+    assert len(true) > 100 and got == true
+
+
+def test_documents_full_of_hits_are_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "SLICE", 50)
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(8, 30)))) for i in range(6)]
+    docs = [(d, " ".join(rng.choice(items)[1] if rng.random() < 0.8 else "zzz of " * rng.randint(1, 9) for _ in range(60))) for d in range(4)]
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["run"]) for r in run(spark, docs, items).collect()}
+    for d, t in docs:
+        for i, p in items:
+            if p in t:
+                assert got[d, i] == (2 * len(p.split()), longest(words_of(t), words_of(p)))
+
+
+def test_slices_hold_every_alignment():
+    for size, around in ((50, 7), (4096, 30), (10, 100)):
+        for end in (1, 49, 50, 1000, 5000):
+            parts = list(leakage._slices(0, end, around))
+            assert parts[0][0] == 0 and parts[-1][1] == end
+            for i in range(0, max(1, end - 3 * around), 7):
+                assert any(a <= i and min(end, i + 3 * around) <= b for a, b in parts)
