@@ -51,14 +51,20 @@ def orphan_references(children: list[Child], parents: list[Parent]) -> DataFrame
     empty parent table makes every reference ``missing``.
     """
     refs = None
-    for c in children:
-        one = c.df.where(F.col(f"`{c.key}`").isNotNull()).select(
-            F.lit(c.field).alias("ref_field"),
-            F.lit(c.parent).alias("ptable"),
-            F.col(f"`{c.key}`").alias("key"),
-            F.col(f"`{c.ref_id}`").alias("ref_id"),
-            F.col(f"`{c.at}`").alias("at"),
-        )
+    tables = {id(c.df): c.df for c in children}
+    for k, df in tables.items():  # a table with several referring fields is read once
+        fields = [
+            F.struct(
+                F.lit(c.field).alias("ref_field"),
+                F.lit(c.parent).alias("ptable"),
+                F.col(f"`{c.key}`").alias("key"),
+                F.col(f"`{c.ref_id}`").alias("ref_id"),
+                F.col(f"`{c.at}`").alias("at"),
+            )
+            for c in children
+            if id(c.df) == k
+        ]
+        one = df.select(F.inline(F.array(*fields))).where("key is not null")
         refs = one if refs is None else refs.unionByName(one)
     time = dict(refs.dtypes)["at"]
     long = refs.select("ptable", "key", F.lit(0).alias("is_parent"), "at", F.lit(None).cast(time).alias("loaded"), F.lit(None).cast(time).alias("deleted"))

@@ -43,9 +43,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders written by this process and not yet released.
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that were written between stages so far.
+
+    Results computed from them must have been written or fetched before.
+    Checkpoints are Spark's own to clean (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table written between stages."""
-    return f"{shared_dir(spark).rstrip('/')}/sheafline-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/sheafline-{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 from pathlib import Path
 
 import pytest
@@ -37,3 +38,12 @@ def test_lookup_join(spark, bound, how):
         want = {i: v for i, v in want.items() if v is not None}
     assert {r["row"]: r["v"] for r in rows} == want and len(rows) == len(want)
     assert out.columns == ["k", "row", "key", "v"]
+
+
+def test_release_deletes_what_was_staged(spark):
+    df = runtime.stage(spark.range(5).toDF("a"), "once")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(path)
+    runtime.release(spark)
+    assert not os.path.exists(path)
+    runtime.release(spark)
