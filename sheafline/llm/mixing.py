@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 from ..runtime import stage
 
 #: A public byte-level vocabulary as ranks; every executor has the file at this path.
-RANKS = os.environ.get("SHEAFLINE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Another one is named by ``ranks`` or the session's setting RANKS_SETTING.
+RANKS, RANKS_SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.sheafline.ranks"
 #: Fixed value: the pattern that splits text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Sources a target table may name; the rates are worked out on the driver.
@@ -52,7 +52,7 @@ def mix_sources(
     total_tokens: float | None = None,
     shortfall: float = 0.0,
     seed: int = 0,
-    ranks: str = RANKS,
+    ranks: str | None = None,
 ) -> Mix:
     """Draw from every source its share of all tokens.
 
@@ -88,7 +88,7 @@ def mix_sources(
         .join(known, F.col("src") == F.col("__src"))
         .drop("__src")
     )
-    sized = stage(part.mapInPandas(_token_counts(ranks), "doc_id long, src string, n_tokens long"), "sized")
+    sized = stage(part.mapInPandas(_token_counts(ranks or spark.conf.get(RANKS_SETTING, RANKS)), "doc_id long, src string, n_tokens long"), "sized")
     have = sized.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).toArrow().to_pandas()
     plan = _rates(wanted.merge(have, on="src", how="left").fillna({"tokens": 0, "docs": 0}), total_tokens, shortfall)
     rates = F.broadcast(_thresholds(sized, plan, seed))
