@@ -23,8 +23,8 @@ PRIME = 1099511628211
 _MASK = (1 << 64) - 1
 
 #: Cells that one task hashes in one go. Beyond that all partitions work at
-#: once, at 256 times the work per byte in the first of their two passes.
-LOCAL_CELLS = 20_000_000
+#: once, at 32 times the work per byte in the first of their two passes.
+LOCAL_CELLS = 5_000_000
 
 
 def checksum(rel: Relation, local_cells: int = LOCAL_CELLS) -> tuple[str, int]:
@@ -115,29 +115,45 @@ def _fold(state: int, stream: np.ndarray) -> int:
     return state
 
 
-def _trace(stream: np.ndarray, low: int) -> np.ndarray:
-    """The low byte before each byte of the stream, and after the last.
+def _bit(stream: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
+    """Bit k of the low byte before each byte of the stream and after the last, from a start of 0.
 
     Bit k of the next low byte is a xor of bit k of (low xor byte) with what
-    the lower bits carry in, so the bits are found one after another, each by
-    a running xor over the whole stream.
+    the lower bits carry in, so with those known it is a running xor; from a
+    start of 1 it is the opposite throughout.
     """
-    p = PRIME & 255
+    known = (seen[:-1] ^ stream) & ((1 << k) - 1)
+    carry = (known.astype(np.uint16) * (PRIME & 255) >> k).astype(np.uint8) & 1
+    turn = carry ^ (stream >> k & 1)  # the multiplier is odd: bit k itself passes on
+    return np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, np.uint8), turn]))
+
+
+def _trace(stream: np.ndarray, low: int) -> np.ndarray:
+    """The low byte before each byte of the stream, and after the last, bit by bit from the lowest."""
     seen = np.zeros(len(stream) + 1, np.uint8)
     for k in range(8):
-        mask = (1 << (k + 1)) - 1
-        known = (seen[:-1] ^ stream) & ((1 << k) - 1)  # the lower bits are final
-        carry = (known.astype(np.uint16) * p >> k).astype(np.uint8) & 1
-        turn = carry ^ (stream >> k & 1)  # p is odd: bit k itself passes on
-        bits = np.bitwise_xor.accumulate(np.concatenate([[np.uint8(low >> k & 1)], turn.astype(np.uint8)]))
-        seen |= (bits << k).astype(np.uint8)
-        seen &= mask
+        seen |= (_bit(stream, seen, k) ^ np.uint8(low >> k & 1)) << k
     return seen
 
 
 def _low_map(stream: np.ndarray, maps: np.ndarray) -> np.ndarray:
-    """Compose with the map of low byte in to low byte out; bits depend on lower bits only."""
-    ends = np.array([_trace(stream, v)[-1] for v in range(256)], np.uint8)
+    """Compose with the map of low byte in to low byte out.
+
+    Starts that agree in their lower bits share the traces of those, so the 256
+    of them take 255 running xors, depth first.
+    """
+    ends = np.empty(256, np.uint8)
+
+    def fill(seen: np.ndarray, k: int, low: int) -> None:
+        bit = _bit(stream, seen, k)
+        for one in (0, 1):
+            start = low | one << k
+            if k == 7:
+                ends[start] = seen[-1] | (bit[-1] ^ one) << 7
+            else:
+                fill(seen | (bit ^ np.uint8(one)) << k, k + 1, start)
+
+    fill(np.zeros(len(stream) + 1, np.uint8), 0, 0)
     return ends[maps]
 
 
