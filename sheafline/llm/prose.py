@@ -2,8 +2,8 @@
 
 Whether a paragraph is English is told by its letters: three in a row of a word
 have to be likelier by the English of the corpus than by how often each letter
-occurs at all. That English is learned from paragraphs of a sample in which
-frequent English words outweigh those of other languages; languages without
+occurs at all. That English is learned from all paragraphs in which frequent
+English words are many and outweigh those of other languages; languages without
 any list fail the test by themselves.
 """
 
@@ -175,7 +175,12 @@ def prose_words(text: str | None, model: np.ndarray | None = None) -> list[str]:
     """Lower-case words of the prose; code, numbers and addresses are no words."""
     if not text:
         return []
+    return words_of(paragraphs(text, model))
+
+
+def words_of(parts) -> list[str]:
+    """Lower-case words of paragraphs."""
     words = []
-    for p in paragraphs(text, model):
+    for p in parts:
         words += _WORD.findall(_CODE.sub(" ", p).lower())
     return words

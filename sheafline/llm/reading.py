@@ -13,6 +13,7 @@ unit is free, so levels are kept at mean 0 and standard deviation 1.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, lookup_join, stage
-from .prose import _SIGNS, english_model, paragraphs, prose_words, surely_english, triples
+from .prose import _SIGNS, english_model, likeness, paragraphs, surely_english, triples, words_of
 
 #: Words with a place of their own, most frequent first; the rest share BUCKETS places.
 VOCABULARY, BUCKETS = 50_000, 4_096
-#: Documents, about, from which the letters of English are learned (by hash).
-LANGUAGE_ROWS = 5_000
 #: Grid of levels, and its coarser steps by which words are counted.
 GRID = np.linspace(-6.0, 6.0, 481)
 STEPS = 48
@@ -34,8 +33,6 @@ STEPS = 48
 ROUNDS, SETTLED = 20, 0.04
 #: Spread of levels before the words are seen, and of rated documents around their rating.
 FREE, RATED = 1.0, 0.5
-#: Rated documents from which the bands' borders are fitted, at most (by hash order).
-RATED_ROWS = 50_000
 #: The bands from low to high, and their places on the scale.
 BANDS = {"easy": -1.0, "middle": 0.0, "hard": 1.0}
 
@@ -71,8 +68,9 @@ def reading_levels(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
-    rows = texts.mapInPandas(_word_counts(min_words, _english(texts)), "doc_id long, n_words int, words array<string>, counts array<int>")
-    prose = stage(rows, "prose")
+    parts = stage(texts.mapInPandas(_paragraphs, "doc_id long, parts array<string>, at array<int>, n array<long>"), "parts")
+    found = parts.where("at is null").select("doc_id", "parts")
+    prose = stage(found.mapInPandas(_word_counts(min_words, _english(parts)), "doc_id long, n_words int, words array<string>, counts array<int>"), "prose")
     # one row per id: the ids that repeat are found from the small columns alone
     best = prose.groupBy(F.col("doc_id").alias("__id")).agg(F.max("n_words").alias("__n"), F.count("*").alias("__c"))
     repeated = cut(best.where("__c > 1"))
@@ -108,41 +106,51 @@ def reading_levels(
     documents = cut(coded.mapInPandas(_levels(model), "doc_id long, n_words int, rated double, level double"))
     mean, spread = documents.agg(F.avg("level"), F.stddev_pop("level")).first()
     documents = documents.withColumn("level", (F.col("level") - F.lit(mean or 0.0)) / F.lit(spread or 1.0))
-    rated = documents.where("rated is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(RATED_ROWS).select("level", "rated").toArrow().to_pandas()
+    # levels lie on GRID and ratings between the bands, so all rated documents make few different pairs
+    rated = documents.where("rated is not null").groupBy("level", "rated").agg(F.count("*").alias("n")).toArrow().to_pandas().sort_values(["level", "rated"])
     if len(rated):
-        borders = _borders(rated["level"].to_numpy(), rated["rated"].to_numpy())
+        borders = _borders(*(rated[c].to_numpy(float) for c in ("level", "rated", "n")))
     else:
         got = documents.agg(F.percentile_approx("level", [1 / 3, 2 / 3], 10_000)).first()[0]
         borders = tuple(got) if got else (0.0, 0.0)
     return Levels(documents.drop("rated"), borders)
 
 
-def _english(texts: DataFrame):
-    """The model of English letters of a sample by hash, for all tasks; at most 28^3 counts come together."""
-    share = min(1.0, LANGUAGE_ROWS / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-
-    def run(batches):
-        counts = np.zeros(_SIGNS**3, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                for p in filter(surely_english, paragraphs(text)):
-                    counts += np.bincount(triples(p), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"at": at.astype(np.int32), "n": counts[at]})
-
-    got = drawn.mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+def _paragraphs(batches):
+    """Each document's paragraphs that may be English, and at the end of a task
+    the counts of all triples in those that surely are, at most 28^3."""
+    counts = np.zeros(_SIGNS**3, np.int64)
+    for batch in batches:
+        docs, parts = [], []
+        for doc, text in zip(batch["doc_id"], batch["text"]):
+            got = paragraphs(text)
+            if got:
+                docs.append(doc)
+                parts.append(got)
+        sure = filter(surely_english, itertools.chain.from_iterable(parts))
+        while some := [triples(p) for p in itertools.islice(sure, 256)]:
+            counts += np.bincount(np.concatenate(some), minlength=len(counts))
+        yield pd.DataFrame({"doc_id": docs, "parts": parts, "at": None, "n": None})
+    at = np.flatnonzero(counts)
+    if len(at):
+        yield pd.DataFrame({"doc_id": [None], "parts": [None], "at": [at.astype(np.int32)], "n": [counts[at]]})
+
+
+def _english(parts: DataFrame):
+    """The model of the English letters of all documents, for all tasks."""
+    counted = parts.where("at is not null").select(F.explode(F.arrays_zip("at", "n")).alias("c"))
+    got = counted.groupBy("c.at").agg(F.sum("c.n").alias("n")).toArrow().to_pandas()
     counts = np.zeros(_SIGNS**3)
     counts[got["at"]] = got["n"]
-    return texts.sparkSession.sparkContext.broadcast(english_model(counts))
+    return parts.sparkSession.sparkContext.broadcast(english_model(counts))
 
 
 def _word_counts(min_words: int, english):
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                words = prose_words(text, english.value)
+            for doc, parts in zip(batch["doc_id"], batch["parts"]):
+                words = words_of(p for p in parts if likeness(p, english.value) > 0)
                 if len(words) >= max(1, min_words):
                     names, counts = np.unique(np.array(words), return_counts=True)
                     out.append((doc, len(words), names.tolist(), counts.astype(np.int32)))
@@ -280,10 +288,10 @@ def _fit_words(coded: DataFrame, a: np.ndarray, b: np.ndarray, size: int) -> tup
     return a, b, float(np.average(np.abs(b - before), weights=n + 1e-12)) if len(n) else 0.0
 
 
-def _borders(level: np.ndarray, rated: np.ndarray) -> tuple[float, float]:
+def _borders(level: np.ndarray, rated: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Where a rating is as likely above a band's border as below, by a logistic
-    curve, which single wrong ratings hardly move. A side without ratings puts
-    the border beyond all levels."""
+    curve, which single wrong ratings hardly move; ``n`` documents have each pair.
+    A side without ratings puts the border beyond all levels."""
     cuts = []
     for at in (-0.5, 0.5):
         y = (rated > at).astype(float)
@@ -291,13 +299,13 @@ def _borders(level: np.ndarray, rated: np.ndarray) -> tuple[float, float]:
             cuts.append(GRID[0] - 1 if y.min() else GRID[-1] + 1)
             continue
         f = np.column_stack([np.ones(len(y)), level])
-        w, ridge = np.zeros(2), np.diag([1e-6, 1e-3 * len(y)])
+        w, ridge = np.zeros(2), np.diag([1e-6, 1e-3 * n.sum()])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-            step = np.linalg.solve((f * (p * (1 - p) + 1e-9)[:, None]).T @ f + ridge, f.T @ (p - y) + ridge @ w)
+            step = np.linalg.solve((f * (n * (p * (1 - p) + 1e-9))[:, None]).T @ f + ridge, f.T @ (n * (p - y)) + ridge @ w)
             w -= np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-6:
                 break
-        cut = -w[0] / w[1] if w[1] > 1e-6 else (level[y == 0].mean() + level[y == 1].mean()) / 2
+        cut = -w[0] / w[1] if w[1] > 1e-6 else sum(np.average(level[y == k], weights=n[y == k]) for k in (0, 1)) / 2
         cuts.append(float(np.clip(cut, GRID[0] - 1, GRID[-1] + 1)))
     return min(cuts), max(cuts)

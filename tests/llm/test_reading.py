@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from sheafline.llm import reading
 from sheafline.llm.prose import english_model, likeness, messages, paragraphs, prose_words, triples
 from sheafline.llm.reading import reading_levels
 
@@ -174,3 +175,29 @@ def test_every_word_with_a_place_of_its_own(spark):
         bands[vocabulary] = {r["doc_id"]: r["band"] for r in got}
         assert sum(truth[i] == b for i, b in bands[vocabulary].items()) / 300 > 0.9
     assert bands[None] == bands[50_000]
+
+
+def test_letters_and_borders_come_from_all_documents(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, MAIL.replace("The body of the mail is here.", "the " + " ".join(rng.choices(EASY + MIDDLE, k=12)) + " of the")) for i in range(6000)]
+    letters, rated = [], []
+    model, borders = reading.english_model, reading._borders
+    monkeypatch.setattr(reading, "english_model", lambda counts: letters.append(counts) or model(counts))
+    monkeypatch.setattr(reading, "_borders", lambda *pairs: rated.append(pairs) or borders(*pairs))
+    monkeypatch.setattr(reading, "RATED_ROWS", 100, raising=False)
+    d, lab = frames(spark, docs, [(i, "r", "easy" if i % 2 else "hard") for i in range(6000)])
+    reading_levels(d, "doc_id", "text", lab, "doc_id", "rater", "band", min_words=5)
+    want = np.zeros(28**3)
+    for _, text in docs:
+        for p in paragraphs(text):
+            want += np.bincount(triples(p), minlength=28**3)
+    assert (letters[0] == want).all()
+    assert sum(rated[0][-1]) == 6000
+
+
+def test_borders_of_counted_pairs_are_those_of_single_documents():
+    rng = np.random.default_rng(7)
+    level = rng.integers(-4, 5, 500) / 2
+    rated = np.clip(np.rint(level + rng.normal(0, 0.5, 500)), -1, 1)
+    pairs, n = np.unique(np.column_stack([level, rated]), axis=0, return_counts=True)
+    assert np.allclose(reading._borders(*pairs.T, n.astype(float)), reading._borders(level, rated, np.ones(500)))
