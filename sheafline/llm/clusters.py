@@ -6,12 +6,13 @@ the cell of that vector on a fine grid, which makes the trees of any partitions
 mergeable: the features (count, linear sum, square sum, box) are Spark's partial
 aggregates by that name, and their reduction merges the trees' leaves, and then
 the leaves of a coarser cell to a node. Leaves within reach of each other are joined to
-components, inside a component the leaves are agglomerated by Ward's criterion,
-and one pass over all records assigns each to its component's nearest centroid.
-The clusters with their records, sizes and boxes are the candidates for sets of
-records that are all similar to each other: an exact check confirms those whose
-box proves it, joins those that lie within the radius of each other and searches
-what neither settles.
+components, inside a component the leaves are agglomerated by Ward's criterion
+in rounds that merge all pairs which are each other's cheapest, and one pass over
+all records assigns each to its component's nearest centroid. The clusters with
+their records, sizes and boxes are the candidates for sets of records that are
+all similar to each other: an exact check confirms those whose box proves it,
+joins those that lie within the radius of each other and searches what neither
+settles.
 """
 
 from __future__ import annotations
@@ -35,12 +36,15 @@ from .vectors import distinct_vectors, usable_records
 #: the radius within which an entry takes vectors. A node is as wide as the radius
 #: and two thresholds, so that vectors in reach are in the same or the next node.
 SPLIT, NODE, ABSORB = 4, 5, 0.125
-#: Leaves up to which a Ward agglomeration holds the costs of all pairs; beyond that only each leaf's best one.
+#: Clusters up to which a round of the Ward agglomeration compares all pairs; beyond that by a grid.
 WARD_LEAVES = 600
-#: Leaves of a component up to which it is agglomerated as one; larger ones tile by tile.
+#: Clusters of a component up to which one task agglomerates it; rounds of larger ones are made by tiles.
 WARD_ROWS = 20_000
-#: A Ward merge is made while the root mean square pair distance stays below this share of the radius.
-WARD_SHARE = 0.75
+#: A Ward merge is made while the root mean square pair distance stays below this share of the radius,
+#: of clusters whose centroids are not farther apart than so many times that bound (two radii).
+WARD_SHARE, WARD_FAR = 0.75, 8 / 3
+#: Pairs compared at once.
+WARD_PAIRS = 1_000_000
 #: Components used for the grid of nodes; more components only refine the leaves.
 GRID_DIMS = 4
 #: Distinct vectors of linked clusters up to which one task searches them, with a
@@ -117,7 +121,7 @@ def similarity_clusters(df: DataFrame, id_col: str, components: list[str], radiu
     nodes = nodes.join(linked, F.col("nid") == F.col("__n"), "left").select(F.col("node").alias("__node"), F.coalesce("__c", "nid").alias("component"))
     leaves = cut(leaves.join(nodes, F.col("node") == F.col("__node")).drop("__node", "node"))
     ward = _ward_all(leaves, names, radius)
-    table = cut(leaves.select(F.col("leaf").alias("__leaf"), "lid", "component").join(ward.withColumnRenamed("lid", "__l"), F.col("lid") == F.col("__l")).select("__leaf", "component", "tile", "cands", "cents"))
+    table = cut(leaves.select(F.col("leaf").alias("__leaf"), "lid", "component").join(ward.withColumnRenamed("lid", "__l"), F.col("lid") == F.col("__l")).select("__leaf", "component", "cands", "cents"))
     placed = lookup_join(vecs, table, "leaf", "__leaf", "inner")
     width = len(names)
 
@@ -130,8 +134,7 @@ def similarity_clusters(df: DataFrame, id_col: str, components: list[str], radiu
     nearest = F.when(F.size("cands") == 1, F.get("cands", F.lit(0))).otherwise(
         F.array_min(F.transform(F.sequence(F.lit(0), F.size("cands") - 1), off))["label"]
     )
-    label = nearest.cast("long") + F.shiftleft("tile", 32)
-    placed = cut(placed.select("vid", *names, "n", "component", label.alias("label")))
+    placed = cut(placed.select("vid", *names, "n", "component", nearest.alias("label")))
     clusters = placed.groupBy("component", "label").agg(
         F.min("vid").alias("cluster_id"),
         F.sum("n").alias("size"),
@@ -278,7 +281,7 @@ def _by_tiles(rows: DataFrame, names: list[str], radius: float, min_size: int) -
     overlap; what depends on a neighbour tile waits for the next round. The
     first of all that are left can always be chosen, so the rounds end.
     """
-    side, halo = TILE * radius, 3 * radius * (1 + 1e-6)
+    halo = 3 * radius * (1 + 1e-6)
     axes = names[:GRID_DIMS]
     columns = ["vid", "n", "free", "home", *names]
 
@@ -292,11 +295,7 @@ def _by_tiles(rows: DataFrame, names: list[str], radius: float, min_size: int) -
 
     state = cut(rows.withColumn("cluster_id", F.lit(None).cast("long")))
     while True:
-        tiled = state.withColumns({"free": F.col("cluster_id").isNull(), "home": F.lit(True)})
-        for c in axes:
-            at = [F.floor((F.col(c) + F.lit(o)) / F.lit(side)).cast("double") for o in (0.0, -halo, halo)]
-            tiled = tiled.withColumn(f"b_{c}", at[0]).withColumn(f"t_{c}", F.explode(F.array_distinct(F.array(*at))))
-            tiled = tiled.withColumn("home", F.col("home") & (F.col(f"b_{c}") == F.col(f"t_{c}")))
+        tiled = _tiled(state.withColumn("free", F.col("cluster_id").isNull()), axes, radius, halo)
         keys = ["grp", *[f"t_{c}" for c in axes]]
         tiled = _by_key(tiled.select(*keys, *columns), *keys)
         found = cut(tiled.mapInPandas(run, "__vid long, __set long"))
@@ -305,6 +304,17 @@ def _by_tiles(rows: DataFrame, names: list[str], radius: float, min_size: int) -
         state = cut(state.join(found, F.col("vid") == F.col("__vid"), "left").select(*rows.columns, F.coalesce("cluster_id", "__set").alias("cluster_id")))
 
 
+def _tiled(df: DataFrame, axes: list[str], radius: float, halo: float) -> DataFrame:
+    """Each row once per tile (t_x0..) that it lies in or within ``halo`` of; ``home`` tells which it lies in."""
+    side = F.lit(TILE * radius)
+    df = df.withColumn("home", F.lit(True))
+    for c in axes:
+        low, at, high = (F.floor((F.col(c) + F.lit(o)) / side) for o in (-halo, 0.0, halo))
+        df = df.withColumn(f"b_{c}", at).withColumn(f"t_{c}", F.explode(F.sequence(low, high)))
+        df = df.withColumn("home", F.col("home") & (F.col(f"b_{c}") == F.col(f"t_{c}"))).withColumn(f"t_{c}", F.col(f"t_{c}").cast("double"))
+    return df
+
+
 _NONE = NONE
 
 
@@ -357,28 +367,117 @@ def _node_links(nodes: DataFrame, names: list[str], grid: list[str], radius: flo
 
 
 def _ward_all(leaves: DataFrame, names: list[str], radius: float) -> DataFrame:
-    """(lid, tile, cands, cents): per leaf the clusters that may be nearest to its records, of
-    its component, or of its tile where the component is too large for one task."""
+    """(lid, cands, cents): per leaf the clusters of its component that may be nearest to its records."""
     count = leaves.groupBy("component").agg(F.count("*").alias("__k")).withColumnRenamed("component", "__comp")
     counted = leaves.join(count, F.col("component") == F.col("__comp")).drop("__comp")
-    place = F.xxhash64(*[F.floor(F.col(f"leaf.{c}") / (TILE * SPLIT)) for c in names[:GRID_DIMS]])
-    counted = counted.withColumn("tile", F.when(F.col("__k") > WARD_ROWS, 1 + F.pmod(place, F.lit(1 << 30))).otherwise(F.lit(0).cast("long")))
     mean = [(F.col(f"s_{c}") / F.col("n")) for c in names]
-    alone = counted.where("__k = 1").select("lid", "tile", F.array(F.lit(0)).alias("cands"), F.array(*mean).alias("cents"))
+    alone = counted.where("__k = 1").select("lid", F.array(F.lit(0).cast("long")).alias("cands"), F.array(*mean).alias("cents"))
     flat = counted.where("__k > 1").select(
-        "component", "tile", "lid", "n", "ss", *[F.col(f"s_{c}").alias(f"s_{c}") for c in names], *[F.col(f"leaf.{c}").alias(f"k_{c}") for c in names]
+        "__k", "component", "lid", "n", "ss", *[F.col(f"s_{c}").alias(f"s_{c}") for c in names], *[F.col(f"leaf.{c}").alias(f"k_{c}") for c in names]
     )
 
     width = len(names)
 
     def run(batches):
-        for tile, lid, *block in _whole(batches, ["component", "tile"], ["tile", "lid", "n", "ss", *[f"s_{c}" for c in names], *[f"k_{c}" for c in names]]):
-            cands, cents = _component_ward(np.column_stack(block).astype(float), width, radius)
-            yield pd.DataFrame({"lid": lid, "tile": tile, "cands": cands, "cents": cents})
+        for lid, *block in _whole(batches, ["component"], ["lid", "n", "ss", *[f"s_{c}" for c in names], *[f"k_{c}" for c in names]]):
+            cands, cents = _component_ward(np.column_stack(block).astype(float), width, radius, lid)
+            yield pd.DataFrame({"lid": lid, "cands": cands, "cents": cents})
 
     # a component's rows follow each other; whole ones are handled many to a batch
-    many = _by_key(flat, "component", "tile").mapInPandas(run, "lid long, tile long, cands array<int>, cents array<double>")
-    return alone.unionByName(many)
+    many = _by_key(flat.where(F.col("__k") <= WARD_ROWS).drop("__k"), "component").mapInPandas(run, "lid long, cands array<long>, cents array<double>")
+    out = alone.unionByName(many)
+    if not count.where(F.col("__k") > WARD_ROWS).isEmpty():
+        out = out.unionByName(_ward_tiles(cut(flat.where(F.col("__k") > WARD_ROWS).drop("__k")), names, radius))
+    return out
+
+
+def _ward_tiles(flat: DataFrame, names: list[str], radius: float) -> DataFrame:
+    """``_component_ward`` of components too large for one task: tasks hold tiles and what is in reach of them."""
+    most, axes, sums = (WARD_SHARE * radius) ** 2, names[:GRID_DIMS], [F.sum(f"s_{c}").alias(f"s_{c}") for c in names]
+    whole = flat.groupBy(F.col("component").alias("__comp")).agg(F.sum("n").alias("__n"), F.sum("ss").alias("__ss"), *[x.alias(f"__s_{c}") for x, c in zip(sums, names)])
+    spread = 2 * (F.col("__ss") - _sum(F.pow(F.col(f"__s_{c}"), 2) for c in names) / F.col("__n"))
+    one = whole.where(spread <= F.lit(most) * F.greatest(F.lit(1), F.col("__n") - 1))  # the agglomeration may go all the way
+    one = cut(one.select("__comp", F.array(*[F.col(f"__s_{c}") / F.col("__n") for c in names]).alias("cents")))
+    done = flat.join(one, F.col("component") == F.col("__comp")).select("lid", F.array(F.lit(0).cast("long")).alias("cands"), "cents")
+    flat = cut(flat.join(one, F.col("component") == F.col("__comp"), "left_anti"))
+    roots = _ward_roots(flat, names, radius)
+    held = flat.join(roots, F.col("lid") == F.col("__leaf"), "left").withColumn("root", F.coalesce("root", "lid"))
+    cent = held.groupBy("component", "root").agg(F.sum("n").alias("n"), *sums)
+    cent = cent.select("component", "root", *[(F.col(f"s_{c}") / F.col("n")).alias(c) for c in names])
+    place = 1 + F.pmod(F.xxhash64(*[F.floor(F.col(c) / (TILE * radius)) for c in axes]), F.lit(1 << 30))
+    cent = cent.withColumn("__p", place)
+    number = F.row_number().over(Window.partitionBy("component", "__p").orderBy("root")) - 1
+    cent = cut(cent.select("component", (F.shiftleft("__p", 32) + number).alias("label"), *names, *[F.lit(0.0).alias(f"k_{c}") for c in names]))
+    left = flat.select("component", F.col("lid").alias("label"), *[(F.col(f"s_{c}") / F.col("n")).alias(c) for c in names], *[f"k_{c}" for c in names])
+    keys, d, halo = ["component", *[f"t_{c}" for c in axes]], len(names), 4 * radius
+    columns = ["leaf", "label", *names, *[f"k_{c}" for c in names]]
+    while True:
+
+        def run(batches, halo=halo):
+            for got in _whole(batches, keys, columns):
+                leaf, label, x, k = got[0].astype(bool), got[1], np.column_stack(got[2 : 2 + d]), np.column_stack(got[2 + d :])
+                if leaf.any():
+                    cands, cents = _nearest_cents(x[leaf], k[leaf], x[~leaf], radius, halo)
+                    yield pd.DataFrame({"lid": label[leaf], "cands": [None if c is None else label[~leaf][c] for c in cands], "cents": cents})
+
+        both = _tiled(left.withColumn("leaf", F.lit(True)), axes, radius, 0.0).unionByName(_tiled(cent.withColumn("leaf", F.lit(False)), axes, radius, halo))
+        found = cut(_by_key(both.select(*keys, *columns), *keys).mapInPandas(run, "lid long, cands array<long>, cents array<double>"))
+        done = done.unionByName(found.where("cands is not null"))
+        far = found.where("cands is null").select(F.col("lid").alias("__lid"))
+        if far.isEmpty():
+            return done
+        left, halo = left.join(far, F.col("label") == F.col("__lid"), "left_semi"), 2 * halo
+
+
+def _ward_roots(flat: DataFrame, names: list[str], radius: float) -> DataFrame:
+    """(__leaf, root) of leaves that are merged: the rounds of ``_ward`` over tiles, until a task can hold what is left of a component."""
+    most, axes, d = (WARD_SHARE * radius) ** 2, names[:GRID_DIMS], len(names)
+    halo, values = WARD_FAR * WARD_SHARE * radius * (1 + 1e-6), ["n", "sse", *names]
+    mean = [(F.col(f"s_{c}") / F.col("n")).alias(c) for c in names]
+    sse = F.greatest(F.lit(0.0), F.col("ss") - _sum(F.pow(F.col(f"s_{c}"), 2) for c in names) / F.col("n"))
+    state = cut(flat.select("component", "lid", F.col("n").cast("double").alias("n"), sse.alias("sse"), *mean))
+    keys = ["component", *[f"t_{c}" for c in axes]]
+
+    def search(batches):
+        for lid, home, n, sse, *x in _whole(batches, keys, ["lid", "home", *values]):
+            rows = np.flatnonzero(home.astype(bool))
+            at = _partners(n, np.column_stack(x), sse, lid, most, rows)
+            yield pd.DataFrame({"lid": lid[rows[at >= 0]], "partner": lid[at[at >= 0]]})
+
+    def finish(batches):
+        for lid, n, sse, *x in _whole(batches, ["component"], ["lid", *values]):
+            label = _ward(n, np.column_stack(x), sse, most, lid)
+            root = np.full(label.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(root, label, lid)
+            yield pd.DataFrame({"lid": root[label], "other": lid})[root[label] != lid]
+
+    merges = state.select("lid", F.col("lid").alias("other")).limit(0)
+    while True:
+        counts = cut(state.groupBy(F.col("component").alias("__comp")).agg(F.count("*").alias("__k")).where(F.col("__k") <= WARD_ROWS))
+        if not counts.isEmpty():
+            few = state.join(counts, F.col("component") == F.col("__comp"), "left_semi")
+            merges = merges.unionByName(cut(_by_key(few, "component").mapInPandas(finish, "lid long, other long")))
+            state = cut(state.join(counts, F.col("component") == F.col("__comp"), "left_anti"))
+        tiled = _tiled(state, axes, radius, halo).select(*keys, "lid", "home", *values)
+        best = cut(_by_key(tiled, *keys).mapInPandas(search, "lid long, partner long"))
+        back = best.select(F.col("partner").alias("lid"), F.col("lid").alias("partner"))
+        pairs = cut(best.join(back, ["lid", "partner"], "left_semi").where("lid < partner").select("lid", F.col("partner").alias("other")))
+        if pairs.isEmpty():
+            break
+        merges = merges.unionByName(pairs)
+        roles = pairs.select(F.col("other").alias("__l"), F.col("lid").alias("root"))
+        now = state.join(roles, F.col("lid") == F.col("__l"), "left").withColumn("root", F.coalesce("root", "lid"))
+        row = F.struct("lid", *values)
+        now = now.groupBy("component", "root").agg(F.min(row).alias("a"), F.max(row).alias("b"))
+        na, nb = F.col("a.n"), F.col("b.n")
+        gap = F.lit(0.0)
+        for c in names:
+            gap = gap + (F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}"))
+        new = {"n": na + nb, "sse": F.col("a.sse") + F.col("b.sse") + na * nb / (na + nb) * gap}
+        new |= {c: (na * F.col(f"a.{c}") + nb * F.col(f"b.{c}")) / (na + nb) for c in names}
+        single = F.col("a.lid") == F.col("b.lid")
+        state = cut(now.select("component", F.col("root").alias("lid"), *[F.when(single, F.col(f"a.{c}")).otherwise(new[c]).alias(c) for c in values]))
+    return connected_components(merges, "lid", "other").select(F.col("node").alias("__leaf"), F.col("component").alias("root"))
 
 
 def _whole(batches, keys: list[str], columns: list[str], with_key: bool = False):
@@ -407,118 +506,178 @@ def _whole(batches, keys: list[str], columns: list[str], with_key: bool = False)
         yield joined()
 
 
-def _component_ward(rows: np.ndarray, width: int, radius: float) -> tuple[list, list]:
+def _component_ward(rows: np.ndarray, width: int, radius: float, ids: np.ndarray | None = None) -> tuple[list, list]:
     """Per leaf the labels and centroids of all clusters that may be the nearest to a record in it."""
     n, ss, sums, keys = rows[:, 0], rows[:, 1], rows[:, 2 : 2 + width], rows[:, 2 + width :]
     total, middle = n.sum(), sums.sum(0) / n.sum()
     if 2 * (ss.sum() - total * (middle**2).sum()) <= (WARD_SHARE * radius) ** 2 * max(1, total - 1):
-        return [np.zeros(1, np.int32)] * len(n), [middle] * len(n)  # the agglomeration may go all the way
-    ward = _ward if len(n) <= WARD_LEAVES else _ward_large
-    label = ward(n, sums / n[:, None], np.maximum(0, ss - (sums**2).sum(1) / n), (WARD_SHARE * radius) ** 2)
-    k = label.max() + 1
+        return [np.zeros(1, np.int64)] * len(n), [middle] * len(n)  # the agglomeration may go all the way
+    mean = sums / n[:, None]
+    label = _ward(n, mean, np.maximum(0, ss - (sums**2).sum(1) / n), (WARD_SHARE * radius) ** 2, ids)
     cn = np.bincount(label, n)
     cent = np.column_stack([np.bincount(label, sums[:, j]) for j in range(width)]) / cn[:, None]
-    mean = sums / n[:, None]
+    return _nearest_cents(mean, keys, cent, radius)
+
+
+def _nearest_cents(mean: np.ndarray, keys: np.ndarray, cent: np.ndarray, radius: float, halo: float = np.inf) -> tuple[list, list]:
+    """Per leaf the places and values of the centroids that may be nearest to a record in it, or None where ones beyond ``halo`` may be."""
     # no record is farther from its leaf's mean than the corners of its cell, widened by the threshold
     side, over = radius / SPLIT * (1 + 1e-6), ABSORB * radius * (1 + 1e-6)
     corner = np.maximum(mean - (keys - 0.5) * side, (keys + 0.5) * side - mean) + over
     reach = np.sqrt((corner**2).sum(1)) + 1e-12 * np.abs(mean).max(1)
-    cands, cents = [], []
+    order, seen = np.arange(len(mean)), np.arange(len(cent))
+    if np.isfinite(halo):  # rows that are compared at once lie together
+        order = np.lexsort(np.floor(mean[:, :GRID_DIMS] / radius).T)
+    cands, cents = [None] * len(mean), [None] * len(mean)
     for i in range(0, len(mean), 256):
-        d = np.zeros((min(256, len(mean) - i), k))
-        for c in range(width):
-            d += (mean[i : i + 256, c, None] - cent[None, :, c]) ** 2
+        at = order[i : i + 256]
+        if np.isfinite(halo):
+            seen = np.flatnonzero(((cent >= mean[at].min(0) - halo) & (cent <= mean[at].max(0) + halo)).all(1))
+        if not len(seen):
+            continue
+        d = np.zeros((len(at), len(seen)))
+        for c in range(mean.shape[1]):
+            d += (mean[at, c, None] - cent[None, seen, c]) ** 2
         d = np.sqrt(d)
-        near = d <= (d.min(1) + 2 * reach[i : i + 256])[:, None] * (1 + 1e-9)
-        for row in near:
-            cands.append(np.flatnonzero(row).astype(np.int32))
-            cents.append(cent[row].ravel())
+        most = (d.min(1) + 2 * reach[at]) * (1 + 1e-9)
+        for k, row, sure in zip(at, d <= most[:, None], most <= halo):
+            if sure:
+                cands[k] = seen[row]
+                cents[k] = cent[seen[row]].ravel()
     return cands, cents
 
 
-def _ward(n: np.ndarray, mean: np.ndarray, sse: np.ndarray, most: float) -> np.ndarray:
-    """Labels of a Ward agglomeration that keeps each cluster's mean square pair distance below ``most``."""
-    k = len(n)
-    n, mean, sse = n.copy(), mean.copy(), sse.copy()
-    member = np.arange(k)
+def _ward(n: np.ndarray, mean: np.ndarray, sse: np.ndarray, most: float, ids: np.ndarray | None = None) -> np.ndarray:
+    """Labels of a Ward agglomeration that keeps each cluster's mean square pair distance below ``most``.
 
-    def costs(i):
-        c = n[i] * n / (n[i] + n) * ((mean[i] - mean) ** 2).sum(1)
-        total = n[i] + n
-        spread = 2 * (sse[i] + sse + c) / np.maximum(1, total - 1)
-        return np.where(spread <= most, c, np.inf)
-
-    d = np.stack([costs(i) for i in range(k)])
-    np.fill_diagonal(d, np.inf)
-    while k > 1:
-        i, j = divmod(int(np.argmin(d)), len(n))
-        if not np.isfinite(d[i, j]):
-            break
-        gain = n[i] * n[j] / (n[i] + n[j]) * ((mean[i] - mean[j]) ** 2).sum()
-        mean[i] = (n[i] * mean[i] + n[j] * mean[j]) / (n[i] + n[j])
-        sse[i] += sse[j] + gain
-        n[i] += n[j]
-        member[member == j] = i
-        row = costs(i)
-        row[np.bincount(member, minlength=len(n)) == 0] = np.inf
-        row[i] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        k -= 1
-    return np.unique(member, return_inverse=True)[1]
-
-
-def _ward_large(n: np.ndarray, mean: np.ndarray, sse: np.ndarray, most: float) -> np.ndarray:
-    """As ``_ward``, with the best later partner of each cluster instead of all pairs.
-
-    A kept cost never exceeds the true one, as it is only made again when the
-    cluster comes up; so memory grows with the leaves and time with their square.
+    In each round all pairs merge that are each other's cheapest partner; of equal
+    costs a hash of the two ``ids`` decides. So a round asks for nothing but what is in
+    reach of a cluster, and gives the same by one task as by tiles.
     """
-    k = len(n)
-    n, mean, sse = n.copy(), np.ascontiguousarray(mean.T), sse.copy()
-    alive = np.ones(k, bool)
-    member = np.arange(k)
-
-    def costs(i, s):
-        d2 = np.zeros(len(n[s]))
-        for m in mean:
-            d2 += (m[i] - m[s]) ** 2
-        total = n[i] + n[s]
-        c = n[i] * n[s] / total * d2
-        ok = alive[s] & (2 * (sse[i] + sse[s] + c) <= most * np.maximum(1, total - 1))
-        return np.where(ok, c, np.inf)
-
-    best, partner = np.full(k, np.inf), np.zeros(k, np.int64)
-
-    def renew(i):
-        c = costs(i, slice(i + 1, None))
-        j = int(np.argmin(c)) if len(c) else 0
-        best[i], partner[i] = (c[j], i + 1 + j) if len(c) else (np.inf, 0)
-
-    for i in range(k):
-        renew(i)
-    stale = np.zeros(k, bool)
-    while True:
-        i = int(np.argmin(best))
-        if not np.isfinite(best[i]):
-            return np.unique(member, return_inverse=True)[1]
-        if stale[i]:
-            stale[i] = False
-            renew(i)
-            continue
-        j = int(partner[i])
-        gain = best[i]
-        mean[:, i] = (n[i] * mean[:, i] + n[j] * mean[:, j]) / (n[i] + n[j])
-        sse[i] += sse[j] + gain
-        n[i] += n[j]
-        member[member == j] = i
-        alive[j], best[j] = False, np.inf
-        stale |= alive & np.isin(partner, (i, j))
-        renew(i)
-        stale[i] = False
-        c = costs(i, slice(0, i))
-        nearer = alive[:i] & ((c < best[:i]) | (c == best[:i]) & (i < partner[:i]))
-        best[:i][nearer], partner[:i][nearer], stale[:i][nearer] = c[nearer], i, False
+    n, mean, sse = n.astype(float), mean.astype(float), sse.astype(float)
+    ids = np.arange(len(n)) if ids is None else ids
+    member, partner, todo = np.arange(len(n)), np.full(len(n), -1), np.arange(len(n))
+    while len(n) > 1:
+        partner[todo] = _partners(n, mean, sse, ids, most, todo)
+        a = np.flatnonzero(partner >= 0)
+        a = a[(partner[partner[a]] == a) & (ids[a] < ids[partner[a]])]
+        if not len(a):
+            break
+        b = partner[a]
+        touched = [mean[a], mean[b]]
+        na, nb = n[a], n[b]
+        gap = np.zeros(len(a))
+        for c in range(mean.shape[1]):
+            gap += (mean[a, c] - mean[b, c]) ** 2
+        sse[a] = sse[a] + sse[b] + na * nb / (na + nb) * gap
+        mean[a] = (na[:, None] * mean[a] + nb[:, None] * mean[b]) / (na + nb)[:, None]
+        n[a] = na + nb
+        touched = np.concatenate([*touched, mean[a]])
+        keep = np.ones(len(n), bool)
+        keep[b] = False
+        place = np.cumsum(keep) - 1
+        place[b] = place[a]
+        member = place[member]
+        partner = np.where(partner >= 0, place[partner], -1)[keep]
+        n, mean, sse, ids = n[keep], mean[keep], sse[keep], ids[keep]
+        todo = np.arange(len(n)) if len(n) <= WARD_LEAVES else _in_reach(mean, touched, WARD_FAR * np.sqrt(most))
+    return np.unique(member, return_inverse=True)[1].ravel()
+
+
+def _partners(n: np.ndarray, mean: np.ndarray, sse: np.ndarray, ids: np.ndarray, most: float, rows: np.ndarray) -> np.ndarray:
+    """The place of the cheapest partner of each of ``rows``, or -1 where no merge is allowed."""
+    far = WARD_FAR * np.sqrt(most)
+
+    def costs(i, j):
+        d2 = 0.0
+        for c in range(mean.shape[1]):
+            d2 = d2 + (mean[i, c] - mean[j, c]) ** 2
+        cost = n[i] * n[j] / (n[i] + n[j]) * d2
+        ok = (d2 <= far * far) & (2 * (sse[i] + sse[j] + cost) <= most * np.maximum(1, n[i] + n[j] - 1)) & (i != j)
+        return np.where(ok, cost, np.inf)
+
+    out, best, second = np.full(len(rows), -1), np.full(len(rows), np.inf), np.zeros(len(rows), np.uint64)
+
+    def take(at, j, cost):
+        """Compare with the best so far; ``at`` ascends."""
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        least = np.repeat(np.minimum.reduceat(cost, first), np.diff(np.r_[first, len(at)]))
+        ok = (cost == least) & (cost <= best[at]) & np.isfinite(cost)
+        at, j, cost = at[ok], j[ok], cost[ok]
+        tie = _pair_hash(ids[rows[at]], ids[j])
+        order = np.lexsort((tie, at))
+        at, j, cost, tie = at[order], j[order], cost[order], tie[order]
+        ok = np.r_[True, at[1:] != at[:-1]][: len(at)]
+        ok &= (cost < best[at]) | (tie < second[at])
+        out[at[ok]], best[at[ok]], second[at[ok]] = j[ok], cost[ok], tie[ok]
+
+    if len(n) <= WARD_LEAVES:
+        if len(rows):
+            cost = costs(rows[:, None], np.arange(len(n))[None])
+            j, least = cost.argmin(1), cost.min(1)
+            out = np.where(np.isfinite(least), j, -1)
+            equal = cost == least[:, None]
+            if (tied := (equal.sum(1) > 1) & (out >= 0)).any():
+                at, j = np.nonzero(equal & tied[:, None])
+                take(at, j, cost[at, j])
+        return out
+    left, width = np.arange(len(rows)), far / 8
+    while len(left):
+        cell = np.floor(mean[:, :GRID_DIMS] / width)
+        key = _cell_hash(cell)
+        order = np.argsort(key, kind="stable")
+        known, start, size = np.unique(key[order], return_index=True, return_counts=True)
+        left = left[np.argsort(key[rows[left]], kind="stable")]
+        ask, which = np.unique(key[rows[left]], return_index=True, return_inverse=True)[1:]
+        for o in itertools.product((-1.0, 0.0, 1.0), repeat=cell.shape[1]):
+            want = _cell_hash(cell[rows[left[ask]]] + o)
+            to = np.minimum(np.searchsorted(known, want), len(known) - 1)
+            has = np.where(known[to] == want, size[to], 0)[which]
+            begin, run = start[to][which], np.r_[0, np.cumsum(has)]
+            i = 0
+            while i < len(left):
+                j = max(i + 1, int(np.searchsorted(run, run[i] + WARD_PAIRS, "right")) - 1)
+                total = run[j] - run[i]
+                if total:
+                    at = np.repeat(np.arange(i, j), has[i:j])
+                    other = order[begin[at] + np.arange(total) - (run[at] - run[i])]
+                    sort = np.argsort(left[at], kind="stable")
+                    at, other = left[at][sort], other[sort]
+                    take(at, other, costs(rows[at], other))
+                i = j
+        # a partner that was not seen is farther than the width
+        if width >= far:
+            break
+        left = left[best[left] >= n[rows[left]] / (n[rows[left]] + 1) * width * width * (1 - 1e-9)]
+        width = min(2 * width, far * (1 + 1e-9))
+    return out
+
+
+def _in_reach(mean: np.ndarray, touched: np.ndarray, far: float) -> np.ndarray:
+    """Places of the clusters in cells next to those of what a round has changed."""
+    cell = np.unique(np.floor(touched[:, :GRID_DIMS] / far), axis=0)
+    near = np.unique(np.concatenate([_cell_hash(cell + o) for o in itertools.product((-1.0, 0.0, 1.0), repeat=cell.shape[1])]))
+    return np.flatnonzero(np.isin(_cell_hash(np.floor(mean[:, :GRID_DIMS] / far)), near))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same number for (a, b) and (b, a)."""
+    low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    return _mixed(_mixed(low) + high)
+
+
+def _cell_hash(cell: np.ndarray) -> np.ndarray:
+    """A number per cell; where two share one, pairs too far apart are compared as well."""
+    h = np.zeros(len(cell), np.uint64)
+    for c in range(cell.shape[1]):
+        h = _mixed(h + np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(cell[:, c] + 0.0).view(np.uint64))
+    return h
 
 
 def _component_cliques(x, n, vid, label, radius, min_size) -> np.ndarray:

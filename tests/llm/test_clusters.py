@@ -182,3 +182,39 @@ def test_leaves_list_every_centroid_that_may_be_nearest(seed):
     names = np.array(sorted(centroid))
     d = np.linalg.norm(points[:, None] - np.array([centroid[k] for k in names])[None], axis=2)
     assert all(k in cands[at] for k, at in zip(names[d.argmin(1)], leaf))
+
+
+@pytest.mark.parametrize("rows", [50, 500])
+def test_clusters_of_a_component_do_not_depend_on_how_many_leaves_one_task_takes(spark, monkeypatch, rows):
+    rng = random.Random(9)
+    points = [(i, (rng.uniform(0, 30), rng.uniform(0, 1))) for i in range(1500)]
+    points += [(2000 + i, (round(rng.uniform(0, 30), 1), 0.5)) for i in range(300)]
+    found = []
+    for most in (20_000, rows):
+        monkeypatch.setattr(clusters, "WARD_ROWS", most)
+        c = similarity_clusters(frame(spark, points).coalesce(1), "record_id", ["c0", "c1"], R)
+        found.append(sorted(map(tuple, c.assigned.join(c.clusters, ["component", "label"]).select("vid", "cluster_id", "size").collect())))
+    assert len({r[1] for r in found[0]}) > 100
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("seed, width", [(0, 2), (1, 2), (2, 3), (3, 4)])
+def test_ward_by_a_grid_equals_ward_by_all_pairs(monkeypatch, seed, width):
+    rng = np.random.default_rng(seed)
+    mean = rng.uniform(0, 2.5, (500, width))
+    mean[:200] = np.rint(mean[:200] / 0.1) * 0.1  # equal costs
+    n, ids = rng.choice([1.0, 1.0, 3.0, 400.0], 500), rng.permutation(500) * 3 - 40
+    sse = n * rng.uniform(0, 1e-3, 500)
+    want = clusters._ward(n, mean, sse, (0.75 * R) ** 2, ids)
+    monkeypatch.setattr(clusters, "WARD_LEAVES", 10)
+    monkeypatch.setattr(clusters, "WARD_PAIRS", 5_000)
+    assert (clusters._ward(n, mean, sse, (0.75 * R) ** 2, ids) == want).all()
+    assert want.max() < 450
+
+
+def test_merges_of_equal_costs_are_made_in_few_rounds(monkeypatch):
+    rounds, partners = [], clusters._partners
+    monkeypatch.setattr(clusters, "_partners", lambda *a: rounds.append(1) or partners(*a))
+    mean = np.column_stack([np.arange(2000) * 0.1, np.zeros(2000)])
+    assert clusters._ward(np.ones(2000), mean, np.zeros(2000), (0.75 * R) ** 2).max() < 1000
+    assert len(rounds) < 40
